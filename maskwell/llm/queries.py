@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, license_scan, near_dup, packing, quality, token_count, toxicity
+from . import ann, bpe, html_text, license_scan, line_dedup, near_dup, packing, quality, token_count, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -28,6 +32,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return toxicity.score_documents(documents, toxicity.train(documents, read(spark, sf_dir, "labels")))
@@ -58,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": near_dup.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op9_license_scan": license_scan.oracle_sql()}
+    return {"op1_nearest_neighbours": ann.exact_sql(), "op6_near_duplicates": near_dup.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op9_license_scan": license_scan.oracle_sql()}
