@@ -5,13 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import redact
+from ..sources.tables import table
+from . import native
 
 FLAGSHIP = "detections_by_type"
 
 
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detection in the documents: type, place, proof and context."""
+    found = redact.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", F.inline("detections"))
+
+
+def detections_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections by language and type."""
+    found = redact.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep=["doc_id", "lang"])
+    d = found.select("doc_id", "lang", F.inline("detections"))
+    return d.groupBy("lang", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if("validated").alias("n_validated"), F.count_if("context").alias("n_context"), F.countDistinct("doc_id").alias("docs"))
+
+
+def redacted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with placeholders for their values."""
+    return redact.redact_conversations(table(spark, sf_dir, "conversations"))[0]
+
+
+def conversation_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which placeholder stands for which value."""
+    return redact.redact_conversations(table(spark, sf_dir, "conversations"))[1]
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations redacted and restored again: messages, those that come back as they were, and placeholders restored."""
+    own = table(spark, sf_dir, "conversations")
+    hidden, mapping = redact.redact_conversations(own)
+    whole = lambda df: df.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    back = redact.restore_answers(whole(hidden), mapping, everywhere=True)
+    both = back.select("conv_id", F.col("text").alias("back"), "restored").join(whole(own), "conv_id")
+    return both.agg(F.count(F.lit(1)).alias("conversations"), F.count_if(F.col("back") == F.col("text")).alias("exact"), F.sum("restored").alias("restored"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = {f.__name__: f for f in (detections_by_type, detections, redacted_conversations, conversation_mapping, round_trip)}
+    return own | native.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(native.SQL)
