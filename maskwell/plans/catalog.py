@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import redact
+from ..operators import evaluation, redact
 from ..sources.tables import table
 from . import native
 
@@ -47,8 +47,22 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("conversations"), F.count_if(F.col("back") == F.col("text")).alias("exact"), F.sum("restored").alias("restored"))
 
 
+def generated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of detection over 500 generated cases, by type."""
+    cases = evaluation.labelled_cases(spark, 500)
+    return evaluation.score(cases, redact.detect(cases, keep=["case_id"]))
+
+
+def generated_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of 500 generated cases that are still in the redacted text as written, by type."""
+    cases = evaluation.labelled_cases(spark, 500)
+    as_messages = cases.select(F.col("case_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), "text")
+    hidden = redact.redact_conversations(as_messages)[0]
+    return evaluation.sent_values(cases, hidden.select(F.col("conv_id").alias("case_id"), "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (detections_by_type, detections, redacted_conversations, conversation_mapping, round_trip)}
+    own = {f.__name__: f for f in (detections_by_type, detections, redacted_conversations, conversation_mapping, round_trip, generated_score, generated_sent)}
     return own | native.QUERIES
 
 
