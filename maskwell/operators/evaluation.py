@@ -146,3 +146,88 @@ def sent_values(cases: DataFrame, redacted: DataFrame) -> DataFrame:
     """By type: values, and those that the redacted text still holds as written."""
     values = cases.select("case_id", "text", F.explode("pieces").alias("p")).select("case_id", F.col("p.type").alias("type"), F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("value"))
     return values.join(redacted.select("case_id", F.col("text").alias("sent")), "case_id").groupBy("type").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.contains("sent", "value")).alias("sent"))
+
+
+def truncated_percent(part, whole):
+    """A share as text, cut to one decimal and never rounded up; "-" of nothing."""
+    tenths = F.floor(part * 1000 / whole)
+    return F.when(whole == 0, "-").otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")))
+
+
+def compare_baseline(stored: DataFrame, fresh: DataFrame, keys: list[str], more_is_better: bool = True) -> DataFrame:
+    """keys, stored, fresh and verdict (same, better, worse, new, gone) of counts in the column ``count``."""
+    s, f = stored.select(*keys, F.col("count").alias("stored")), fresh.select(*keys, F.col("count").alias("fresh"))
+    better = F.col("fresh") > F.col("stored") if more_is_better else F.col("fresh") < F.col("stored")
+    verdict = F.when(F.col("stored").isNull(), "new").when(F.col("fresh").isNull(), "gone").when(F.col("stored") == F.col("fresh"), "same").when(better, "better").otherwise("worse")
+    return s.join(f, keys, "full").withColumn("verdict", verdict)
+
+
+def echo(cases: DataFrame) -> DataFrame:
+    """Per case: redacts, sends the redacted text back as an answer and restores it; exact: the text came back as it was."""
+    def run(batches):
+        import pandas as pd
+
+        from .redact import lookup_in, redact_texts
+        from .restore import COUNTS, restore
+
+        for pdf in batches:
+            rows = []
+            for case, text in zip(pdf["case_id"], pdf["text"]):
+                hidden, mapping = redact_texts([text])
+                back, counts = restore(hidden[0], lookup_in(mapping))
+                rows.append((case, back == text, counts["restored"], sum(counts[c] for c in COUNTS[1:])))
+            yield pd.DataFrame(rows, columns=["case_id", "exact", "restored", "held_back"])
+
+    return cases.select("case_id", "text").mapInPandas(run, "case_id long, exact boolean, restored long, held_back long")
+
+
+def rewrite_fates(sent: str, answer: str, restored: str) -> dict[str, int]:
+    """What became of a request's placeholders in a model's answer: restored, held (written but not restored), rewritten
+    (another spelling), dropped; and placeholders that the answer invented."""
+    from .placeholders import BARE_OTHER, mentions
+
+    own = {(m.namespace, m.index) for m in mentions(sent) if m.bracketed}
+    written = {(m.namespace, m.index) for m in mentions(answer)}
+    left = {(m.namespace, m.index) for m in mentions(restored)}
+    loose = {(m[1].upper(), int(m[2])) for m in BARE_OTHER.finditer(answer)}
+    return {
+        "restored": len((own & written) - left),
+        "held": len(own & written & left),
+        "rewritten": len((own & loose) - written),
+        "dropped": len(own - written - loose),
+        "invented": len(written - own),
+    }
+
+
+def leak_form(text: str, value: str) -> str | None:
+    """In which form a text still shows a value: raw, lower-cased, normalised or squashed (letters and digits only)."""
+    from ..functions.normalise import normalise
+
+    squash = lambda s: "".join(c for c in normalise(s).text.lower() if c.isalnum())
+    if value in text:
+        return "raw"
+    if value.lower() in text.lower():
+        return "lower"
+    if normalise(value).text.lower() in normalise(text).text.lower():
+        return "normalised"
+    return "squashed" if len(squash(value)) >= 6 and squash(value) in squash(text) else None
+
+
+def name_metrics(truth: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """recall, precision, f1 and false positives a thousand words of name spans (text_id, start, end); a name counts as
+    found if it is covered."""
+    t = truth.select("text_id", F.col("start").alias("a"), F.col("end").alias("b"))
+    f = found.select("text_id", F.col("start").alias("x"), F.col("end").alias("y"))
+    hit = (F.col("x") < F.col("b")) & (F.col("a") < F.col("y"))
+    covered = t.join(f, "text_id", "left").groupBy("text_id", "a", "b").agg(F.coalesce(F.bool_or((F.col("x") <= F.col("a")) & (F.col("b") <= F.col("y"))), F.lit(False)).alias("ok")).agg(F.count(F.lit(1)).alias("names"), F.count_if("ok").alias("covered"))
+    right = f.join(t, "text_id", "left").groupBy("text_id", "x", "y").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("ok")).agg(F.count(F.lit(1)).alias("spans"), F.count_if("ok").alias("right"))
+    both = covered.join(F.broadcast(right))  # one row each
+    recall, precision = F.try_divide("covered", "names"), F.try_divide("right", "spans")
+    return both.select("names", "covered", "spans", "right", recall.alias("recall"), precision.alias("precision"), F.try_divide(2 * recall * precision, recall + precision).alias("f1"), ((F.col("spans") - F.col("right")) * 1000.0 / max(words, 1)).alias("false_per_1000_words"))
+
+
+def markdown_table(header: list[str], rows: list[tuple]) -> str:
+    """A report's table, from aggregates that were collected."""
+    width = [max(len(str(r[i])) for r in [header, *rows]) for i in range(len(header))]
+    line = lambda r: "| " + " | ".join(str(x).ljust(w) for x, w in zip(r, width)) + " |"
+    return "\n".join([line(header), "| " + " | ".join("-" * w for w in width) + " |", *map(line, rows)])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.register import register
 from ..operators import evaluation, redact
 from ..sources.tables import table
 from . import native
@@ -61,8 +62,21 @@ def generated_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sent_values(cases, hidden.select(F.col("conv_id").alias("case_id"), "text"))
 
 
+def generated_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 generated cases redacted and sent back: messages that return exactly, placeholders restored and held back."""
+    own = evaluation.echo(evaluation.labelled_cases(spark, 500))
+    return own.agg(F.count(F.lit(1)).alias("messages"), F.count_if("exact").alias("exact"), F.sum("restored").alias("restored"), F.sum("held_back").alias("held_back"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function and the scalar functions from SQL."""
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("maskwell_documents")
+    return spark.sql("SELECT d.doc_id, s.type, s.start, s.`end`, value_key(s.type, substring(d.text, s.start + 1, s.`end` - s.start)) AS key FROM maskwell_documents d, LATERAL detect_spans(d.text) s")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (detections_by_type, detections, redacted_conversations, conversation_mapping, round_trip, generated_score, generated_sent)}
+    own = {f.__name__: f for f in (detections_by_type, detections, redacted_conversations, conversation_mapping, round_trip, generated_score, generated_sent, generated_echo, sql_functions)}
     return own | native.QUERIES
 
 

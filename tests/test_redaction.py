@@ -114,3 +114,29 @@ def test_generated_values_are_found_wholly():
         text, pieces = make_case(7, f"C{i}")
         hidden = redact_texts([text])[0][0]
         assert all(text[p.start : p.end] not in hidden for p in pieces)
+
+
+def test_evaluation_over_frames(spark):
+    from maskwell.operators import evaluation as ev
+
+    cases = ev.labelled_cases(spark, 60)
+    scored = {r.type: r for r in ev.score(cases, redact.detect(cases, keep=["case_id"])).collect()}
+    assert sum(r["values"] for r in scored.values()) == sum(r.redacted for r in scored.values()) > 60
+    assert ev.echo(cases).filter("exact").count() == 60
+    a = spark.createDataFrame([("x", 3), ("y", 5)], "k string, count long")
+    b = spark.createDataFrame([("x", 4), ("z", 1)], "k string, count long")
+    assert {r.k: r.verdict for r in ev.compare_baseline(a, b, ["k"]).collect()} == {"x": "better", "y": "gone", "z": "new"}
+    spans = spark.createDataFrame([(1, 0, 5), (1, 9, 12)], "text_id long, start int, end int")
+    row = ev.name_metrics(spans, spans.limit(1), 100).first()
+    assert (row.covered, row.names, row.precision) == (1, 2, 1.0)
+    assert ev.rewrite_fates("[PAN_1] [PAN_2] [IP_1]", "Pan 1, [PAN_2] [PAN_7]", "Pan 1, x [PAN_7]") == {"restored": 1, "held": 0, "rewritten": 1, "dropped": 1, "invented": 1}
+    assert [ev.leak_form("AB 12-34 cd", v) for v in ("12-34", "ab 12", "1234cd", "zz")] == ["raw", "lower", "squashed", None]
+    assert ev.markdown_table(["a"], [(1,)]).splitlines()[1] == "| - |"
+
+
+def test_sql_functions(spark):
+    from maskwell.functions.register import register
+
+    register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT s.type, s.start, s.`end` FROM detect_spans('x a@example.com') s").collect()] == [("EMAIL", 2, 15)]
+    assert spark.sql("SELECT redact_text('x a@example.com') t, value_key('PAN', 'abcpe1234f') k").first() == ("x [EMAIL_1]", "ABCPE1234F")
