@@ -44,8 +44,8 @@ def step(restorer: Restorer, next_seq: int, waiting: dict[int, tuple[str, bool]]
     return out, next_seq, over
 
 
-def restore_stream(pieces: DataFrame, entries: dict[tuple[str, int], tuple[str, bool]], timeout: str = "10 minutes", everywhere: bool = False) -> DataFrame:
-    """A streaming DataFrame of OUTPUT rows. A stream that is silent for ``timeout`` is flushed and over.
+def restore_stream(pieces: DataFrame, entries: dict[tuple[str, int], tuple[str, bool]], timeout_ms: int = 600_000, everywhere: bool = False) -> DataFrame:
+    """A streaming DataFrame of OUTPUT rows. A stream that is silent for ``timeout_ms`` is flushed and over.
 
     ``entries``: (namespace, index) to (value, exact only), the mapping of one conversation, bounded by its numbering.
     """
@@ -67,7 +67,7 @@ def restore_stream(pieces: DataFrame, entries: dict[tuple[str, int], tuple[str,
             out, next_seq, over = step(restorer, next_seq, waiting, rows)
         state.update((pickle.dumps(restorer), next_seq, pickle.dumps(waiting), over))
         if not over:
-            state.setTimeoutDuration(timeout)
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(*key, *r) for r in out], columns=["stream_id", "kind", "seq", "text", "done"])
 
     return pieces.groupBy("stream_id", "kind").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
