@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import pyarrow as pa
@@ -24,23 +25,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: later jobs, and tasks run again after a lost
     executor, start from these files rather than from the plan above them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskwell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files of a cut that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/maskwell/" in folder and folder.split("//")[-1].lstrip("/").startswith(root.split("//")[-1].lstrip("/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Cuts made inside are deleted at the end, but for those passed to what this yields. What is kept must not be planned
+    on the others any more."""
+    own: list[str] = []
+    kept: list[str] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in own:
+            if path not in kept:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def narrow_batches(spark: SparkSession) -> None:

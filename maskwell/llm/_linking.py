@@ -1,10 +1,12 @@
 """Linking of similar things without all pairs: buckets, hubs, verification and components.
 
 A node stands for all equal things. Nodes meet in buckets by keys drawn from their sketches. A bucket is compared with its
-smallest node only; nodes that are still in different components afterwards, though they share a bucket, are compared in
-blocks by their sketches, so that no link is lost to the choice of the smallest. What a sketch can't rule out is verified on
-the things themselves, grouped by hub in groups of bounded size. Components are found by contraction. Each step is written
-to the shared folder; nothing is collected to the driver.
+smallest node only, and what a sketch can't rule out is verified on the things themselves, grouped by hub in groups of
+bounded size. Where a bucket still holds several components, its blocks are compared by sketches, so that no link is lost to
+the choice of the smallest; the pairs that sketches can't rule out are kept as a forest and not one by one. A tree of the
+forest is a family; within it all pairs of different components are tested exactly, block by block, and again only a forest
+of the links leaves a task. Components are found by contraction. Each step is written to the shared folder; nothing is
+collected to the driver.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, map_batches, narrow_batches, texts_of
+from ._common import cut, map_batches, narrow_batches, scratch, texts_of
 
-#: Members of one block where a bucket is compared within itself, and of one group where a hub is verified.
-BLOCK, SPOKES = 1024, 256
+#: Members of one block where a bucket or a family is compared within itself, and of one group where a hub is verified.
+BLOCK, SPOKES = 512, 256
 
 
 class Kind(Protocol):
@@ -39,6 +41,13 @@ class Kind(Protocol):
     def likely(self, na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimated similarity, and whether a link can't be ruled out."""
 
+    def close(self, na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Matrix: whether a link of each of the first with each of the second can't be ruled out."""
+
+    def links(self, left: list[bytes], right: list[bytes], open_pair) -> list[tuple[int, int]]:
+        """Exact links between payloads, as pairs of places; a pair needs no test if ``open_pair(i, j)`` is false. Once a
+        link is found, ``open_pair.join(i, j)`` says so."""
+
     def payloads(self, texts: list[str], wanted: list[list[tuple[int, int]]]) -> list[list[bytes | None]]:
         """For each text what is verified of the things with the wanted fingerprints; None if it has no such thing."""
 
@@ -65,29 +74,61 @@ def _likely(kind: Kind, batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(est[ok].astype(float))], ["a", "b", "est"])
 
 
-def _block_pairs(kind: Kind, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs between two blocks of one bucket that lie in different components."""
+class _Forest:
+    """Union-find over labels; ``__call__`` asks whether two rows are still apart, ``join`` unites them."""
+
+    def __init__(self, left, right):
+        self.left, self.right, self.up = left, right, {}
+
+    def _root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def __call__(self, i: int, j: int) -> bool:
+        return self._root(self.left[i]) != self._root(self.right[j])
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self._root(self.left[i]), self._root(self.right[j])
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _close_forest(kind: Kind, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the pairs of two blocks of one bucket that lie in different components and may be linked. Nodes, not
+    components, are united, so that every such pair ends in one tree."""
+    out = []
+    if len(left) and len(right):
+        close = kind.close(left["n"].to_numpy(), _matrix(kind, left["sketch"]), right["n"].to_numpy(), _matrix(kind, right["sketch"]))
+        close &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+        ids_a, ids_b = left["node"].tolist(), right["node"].tolist()
+        forest = _Forest(ids_a, ids_b)
+        out = [(ids_a[i], ids_b[j]) for i, j in zip(*np.nonzero(close)) if forest.join(i, j)]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _exact_forest(kind: Kind, key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the two blocks of a family that unite components, as a forest."""
+    pdf = pdf.drop_duplicates(["side", "node"])
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     out = []
     if len(left) and len(right):
-        sb, nb, cb, ib = _matrix(kind, right["sketch"]), right["n"].to_numpy(), right["comp"].to_numpy(), right["node"].to_numpy()
-        for node, n, comp, sk in zip(left["node"], left["n"], left["comp"], left["sketch"]):
-            other = np.flatnonzero((cb != comp) & (ib < node) & kind.possible(np.full(len(nb), n), nb))
-            if len(other):
-                est, ok = kind.likely(np.full(len(other), n), _matrix(kind, [sk]), nb[other], sb[other])
-                out += [(node, x, float(e)) for x, e in zip(ib[other[ok]], est[ok])]
-    return pd.DataFrame(out, columns=["a", "b", "est"])
+        ids_a, ids_b = left["node"].tolist(), right["node"].tolist()
+        forest = _Forest(left["comp"].tolist(), right["comp"].tolist())
+        out = [(ids_a[i], ids_b[j]) for i, j in kind.links(left["payload"].tolist(), right["payload"].tolist(), forest)]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _spokes(kind: Kind, batch: pa.RecordBatch):
+def _spokes(kind: Kind, fields: list, batch: pa.RecordBatch):
     items = batch.column("items").to_pylist()
     wanted = [[(x["f1"], x["f2"]) for x in own] for own in items]
     rows = []
     for own, found in zip(items, kind.payloads(texts_of(batch), wanted)):
         for x, data in zip(own, found):
             if data is not None:
-                rows += [(g["hub"], g["part"], x["node"], data) for g in x["groups"]]
-    columns = list(zip(*rows)) or [[], [], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["hub", "part", "node", "payload"])
+                rows += [(*g.values(), x["node"], data) for g in x["groups"]]
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
 def _verified(kind: Kind, key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,6 +140,17 @@ def _verified(kind: Kind, key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series(found, dtype="int64"), "b": pd.Series([key[0]] * len(found), dtype="int64")})
 
 
+_NODE = [("node", pa.int64()), ("payload", pa.binary())]
+
+
+def _payloads(kind: Kind, docs: DataFrame, nodes: DataFrame, groups: DataFrame, fields: list, schema: str) -> DataFrame:
+    """Rows of the groups' fields, node and payload. ``groups``: node and an array of structs of those fields."""
+    items = groups.join(nodes.select("node", "doc", "f1", "f2"), "node").groupBy("doc").agg(F.collect_list(F.struct("node", "f1", "f2", "groups")).alias("items"))
+    items = cut(items, "wanted")
+    rows = docs.join(items, docs["doc_id"].eqNullSafe(items["doc"])).select("text", "items")
+    return map_batches(rows, partial(_spokes, kind, fields + _NODE), f"{schema}, node long, payload binary")
+
+
 def verify(kind: Kind, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are linked. Pairs are grouped by b, the hub; a hub of many is split."""
     size = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("spokes"))
@@ -106,22 +158,39 @@ def verify(kind: Kind, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> D
     spokes = pairs.join(size, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "n_parts").cast("int").alias("part"))
     hubs = size.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
     groups = spokes.unionByName(hubs).groupBy("node").agg(F.collect_list(F.struct("hub", "part")).alias("groups"))
-    items = groups.join(nodes.select("node", "doc", "f1", "f2"), "node").groupBy("doc").agg(F.collect_list(F.struct("node", "f1", "f2", "groups")).alias("items"))
-    items = cut(items, "wanted")
-    rows = docs.join(items, docs["doc_id"].eqNullSafe(items["doc"])).select("text", "items")
-    payloads = map_batches(rows, partial(_spokes, kind), "hub long, part int, node long, payload binary")
+    payloads = _payloads(kind, docs, nodes, groups, [("hub", pa.int64()), ("part", pa.int32())], "hub long, part int")
     return cut(payloads.groupBy("hub", "part").applyInPandas(partial(_verified, kind), "a long, b long"), "links")
 
 
+def _families(kind: Kind, docs: DataFrame, nodes: DataFrame, families: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between components within the families (node, comp of the family), as forests. In each family the blocks of
+    all nodes outside its most frequent component meet the blocks of all nodes."""
+    member = families.withColumnRenamed("comp", "family").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = cut(member, "families")
+    of_comp = member.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    size = of_comp.groupBy("family").agg(F.sum("n").alias("all"), F.max("n").alias("main_n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    size = size.filter(F.col("all") > F.col("main_n")).select("family", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("ys"), F.ceil((F.col("all") - F.col("main_n")) / BLOCK).cast("int").alias("xs"))
+    rows = member.join(cut(size, "sizes"), "family")
+    here = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = lambda side, x, y: F.struct(F.col("family"), x.alias("x"), y.alias("y"), F.lit(side).alias("side"), F.col("comp"))
+    right = F.transform(every("xs"), lambda x: group(1, x, here("ys")))
+    left = F.when(F.col("comp") != F.col("main"), F.transform(every("ys"), lambda y: group(0, here("xs"), y))).otherwise(F.slice(F.transform(every("ys"), lambda y: group(0, here("xs"), y)), 1, 0))
+    groups = rows.select("node", F.concat(right, left).alias("groups"))
+    fields = [("family", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("comp", pa.int64())]
+    payloads = _payloads(kind, docs, nodes, groups, fields, "family long, x int, y int, side int, comp long")
+    return cut(payloads.groupBy("family", "x", "y").applyInPandas(partial(_exact_forest, kind), "a long, b long"), "links")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     joined = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def _within(kind: Kind, bands: DataFrame, buckets: DataFrame, nodes: DataFrame, comps: DataFrame, best_only: bool) -> DataFrame | None:
-    """Likely pairs of nodes that share a bucket of three or more but no component (None: there is no such bucket);
-    ``best_only``: for each node the likeliest one."""
+def _forest(kind: Kind, bands: DataFrame, buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """A forest of the pairs that share a bucket of three or more but no component and may be linked (None: no such bucket).
+    Buckets of two have been compared already."""
     labelled = bands.join(buckets.filter("members > 2").select("key", "members"), "key").join(comps, "node", "left")
     labelled = cut(labelled.withColumn("comp", F.coalesce("comp", "node")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("members").alias("m"))
@@ -130,23 +199,26 @@ def _within(kind: Kind, bands: DataFrame, buckets: DataFrame, nodes: DataFrame,
         return None
     rows = labelled.drop("members").join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.withColumn("x", own).withColumn("y", every).select("key", "x", "y", "node", "n", "comp", "sketch")
-    right = rows.withColumn("y", own).withColumn("x", every).select("key", "x", "y", "node", "n", "comp", "sketch")
+    # block x meets block y for x <= y: the left side is every row with its later blocks, the right side with its earlier ones
+    left = rows.withColumn("x", own).withColumn("y", F.explode(F.sequence(own, F.col("blocks") - 1))).select("key", "x", "y", "node", "n", "comp", "sketch")
+    right = rows.withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), own))).select("key", "x", "y", "node", "n", "comp", "sketch")
     right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same rows
-    found = left.groupBy("key", "x", "y").cogroup(right.groupBy("key", "x", "y")).applyInPandas(partial(_block_pairs, kind), "a long, b long, est double")
-    if best_only:
-        return found.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    return found.select("a", "b").distinct()
+    found = left.groupBy("key", "x", "y").cogroup(right.groupBy("key", "x", "y")).applyInPandas(partial(_close_forest, kind), "a long, b long")
+    return cut(found.distinct(), "forest")
 
 
 def link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp) of every node that is linked with another; comp is the smallest node of its component.
 
     ``docs``: doc_id and text. ``nodes``: node, n, sketch, and by which doc (a doc_id) and fingerprint (f1, f2) the thing is
-    found in a text; read more than once, so it should be a cut.
+    found in a text; read more than once, so it should be a cut. The result is a cut; all others made here are deleted.
     """
     narrow_batches(nodes.sparkSession)
+    with scratch(nodes.sparkSession) as keep:
+        return keep(_link(kind, docs, nodes))
+
+
+def _link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bands = cut(map_batches(nodes.select("node", "sketch"), partial(_bucket_rows, kind), "key long, node long"), "bands")
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = cut(buckets, "buckets")
@@ -158,23 +230,14 @@ def link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     links = verify(kind, docs, nodes, tested)
     comps = components(links)
 
-    def more(pairs: DataFrame) -> None:
-        nonlocal links, comps, tested
-        pairs = cut(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return
-        new = verify(kind, docs, nodes, pairs)
-        tested = tested.unionByName(pairs)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = components(links)
-
-    more(_apart(likely.select("a", "b").join(tested, ["a", "b"], "left_anti"), comps))
-    for best_only in (True, False):  # buckets that hold several components still, block against block
-        pairs = _within(kind, bands, buckets, nodes, comps, best_only)
-        if pairs is None:
-            break
-        more(pairs.join(likely.select("a", "b"), ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
+    rest = cut(_apart(likely.select("a", "b").join(tested, ["a", "b"], "left_anti"), comps).select("a", "b"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(verify(kind, docs, nodes, rest))
+        comps = components(links)
+    forest = _forest(kind, bands, buckets, nodes, comps)
+    if forest is not None and not forest.isEmpty():
+        links = links.unionByName(_families(kind, docs, nodes, components(forest), comps))
+        comps = components(links)
     return comps
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, map_batches, parts, texts_of
+from ._common import cut, map_batches, parts, scratch, texts_of
 from ._linking import link
 
 #: Bands of ROWS registers each: at similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 3) ** 24 < 4e-8.
@@ -33,6 +33,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Log-likelihood that a pair may lose by a similarity of the threshold against its best one: five sigma.
 SLACK = 12.5
+#: Equal registers that a pair at the threshold has: fewer with a probability under 1e-6, as they are binomial from 0.8 on.
+FEWEST_EQUAL = 40
 STEP_CHARS = 2_000_000
 
 _U = np.uint64
@@ -67,10 +69,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse_powers
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts (A-Z lower-cased), and the index of each text's first word, the number of
+def word_hashes(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (A-Z lower-cased; bytes as they are), and the index of each text's first word, the number of
     words last. Words are runs without blank, tab, line feed, vertical tab, form feed and carriage return."""
-    raw = [t.encode().lower() for t in texts]
+    raw = [t if isinstance(t, bytes) else t.encode().lower() for t in texts]
     sizes = np.array([len(r) + 1 for r in raw], np.int64)
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     word = ~_GAP[data]
@@ -174,6 +176,34 @@ class Shingles:
     def likely(self, na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return estimate(na, nb, (a > b).sum(axis=1), (a < b).sum(axis=1), self.numerator / self.denominator)
 
+    def close(self, na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -> np.ndarray:
+        equal = np.zeros((len(a), len(b)), np.uint8)
+        for i in range(REGISTERS):
+            equal += a[:, i, None] == b[None, :, i]
+        return (equal >= FEWEST_EQUAL) & self.possible(na[:, None], nb[None, :])
+
+    def links(self, left: list[bytes], right: list[bytes], open_pair) -> list[tuple[int, int]]:
+        """By one matrix product over the hashes that both sides have, so that every pair gets its exact intersection."""
+        a, b = ([np.frombuffer(x, _U) for x in side] for side in (left, right))
+        shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+        common = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, len(shared), 4096):
+            own = shared[at : at + 4096]
+            ma, mb = (self._membership(side, own) for side in (a, b))
+            common += ma @ mb.T
+        na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+        hit = common * self.denominator >= self.numerator * (na + nb - common.astype(np.int64))
+        return [(i, j) for i, j in zip(*np.nonzero(hit)) if open_pair.join(i, j)]
+
+    @staticmethod
+    def _membership(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(own)), np.float32)
+        for i, s in enumerate(sets):
+            at = np.searchsorted(own, s)
+            at[at == len(own)] = 0
+            out[i, at[own[at] == s]] = 1
+        return out
+
     def payloads(self, texts: list[str], wanted: list[list[tuple[int, int]]]) -> list[list[bytes | None]]:
         out = []
         for a, b in parts([len(t) for t in texts], STEP_CHARS):
@@ -206,12 +236,14 @@ def near_duplicates(df: DataFrame, k: int = 5, numerator: int = 80, denominator:
     are judged each by its text. A null id can be linked but never names a component unless all its ids are null.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(map_batches(docs, partial(_prints, k), "doc_id long, n long, f1 long, f2 long, sketch binary"), "prints")
-    nodes = _nodes(prints)
-    comps = link(Shingles(k, numerator, denominator), docs, nodes)
-    of_node = nodes.select("node", "f1", "f2", "doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = cut(of_node.groupBy("comp").agg(F.min("doc").alias("component_id")), "least")
-    named = cut(of_node.join(least, "comp").select("f1", "f2", "component_id"), "named")
+    with scratch(df.sparkSession) as keep:
+        prints = cut(map_batches(docs, partial(_prints, k), "doc_id long, n long, f1 long, f2 long, sketch binary"), "prints")
+        nodes = _nodes(prints)
+        comps = link(Shingles(k, numerator, denominator), docs, nodes)
+        of_node = nodes.select("node", "f1", "f2", "doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        least = cut(of_node.groupBy("comp").agg(F.min("doc").alias("component_id")), "least")
+        named = keep(cut(of_node.join(least, "comp").select("f1", "f2", "component_id"), "named"))
+        keep(prints)
     rows = prints.select("doc_id", "n", "f1", "f2")
     linked = rows.filter("n > 0").join(named, ["f1", "f2"]).select("doc_id", "n", "component_id")
     alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -223,8 +255,9 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, numerator: int = 80, denomin
 
     Repeated rows of one id and text become one. Rows of a null id stay only if their group has no id at all.
     """
-    verdict = near_duplicates(df, k, numerator, denominator, id_col, text_col).filter("kept").select("doc_id").distinct()
-    verdict = cut(verdict, "kept").toDF("_kept_id")
+    with scratch(df.sparkSession) as keep:
+        verdict = near_duplicates(df, k, numerator, denominator, id_col, text_col).filter("kept").select("doc_id").distinct()
+        verdict = keep(cut(verdict, "kept")).toDF("_kept_id")
     kept = df.join(verdict, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
     return kept.dropDuplicates([id_col, text_col])
 
