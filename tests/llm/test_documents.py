@@ -166,7 +166,7 @@ def test_line_dedup(spark):
 def test_simhash_is_near_for_near_lines():
     rnd = random.Random(8)
     a = prose(60, rnd)
-    x, y, z = line_dedup.simhashes([a, edited(a, 1, rnd), prose(60, rnd)])
+    x, y, z = line_dedup.simhashes([x.encode() for x in (a, edited(a, 1, rnd), prose(60, rnd))])
     assert np.bitwise_count(x ^ y).sum() < 30 < np.bitwise_count(x ^ z).sum()
 
 
