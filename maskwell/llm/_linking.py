@@ -24,6 +24,8 @@ from ._common import cut, map_batches, narrow_batches, scratch, texts_of
 
 #: Members of one block where a bucket or a family is compared within itself, and of one group where a hub is verified.
 BLOCK, SPOKES = 512, 256
+#: Rows of the broadcast filter by which texts are found, at most (8 MB).
+FILTER_BUCKETS = 1 << 20
 
 
 class Kind(Protocol):
@@ -94,17 +96,35 @@ class _Forest:
         return a != b
 
 
-def _close_forest(kind: Kind, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """A forest of the pairs of two blocks of one bucket that lie in different components and may be linked. Nodes, not
-    components, are united, so that every such pair ends in one tree."""
-    out = []
-    if len(left) and len(right):
-        close = kind.close(left["n"].to_numpy(), _matrix(kind, left["sketch"]), right["n"].to_numpy(), _matrix(kind, right["sketch"]))
-        close &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-        ids_a, ids_b = left["node"].tolist(), right["node"].tolist()
-        forest = _Forest(ids_a, ids_b)
-        out = [(ids_a[i], ids_b[j]) for i, j in zip(*np.nonzero(close)) if forest.join(i, j)]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _close_pairs(kind: Kind, rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """A forest of the pairs of one group that lie in different components and may be linked: side 0 against side 1, or
+    side 0 against itself if there is no side 1. Nodes, not components, are united, so every such pair ends in one tree."""
+    side = rows["side"].to_numpy()
+    left = rows[side == 0]
+    right = rows[side == 1] if side.any() else left
+    close = kind.close(left["n"].to_numpy(), _matrix(kind, left["sketch"]), right["n"].to_numpy(), _matrix(kind, right["sketch"]))
+    close &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+    if not close.any():
+        return []
+    ids_a, ids_b = left["node"].tolist(), right["node"].tolist()
+    forest = _Forest(ids_a, ids_b)
+    return [(ids_a[i], ids_b[j]) for i, j in zip(*np.nonzero(close)) if forest.join(i, j)]
+
+
+def _close_forests(kind: Kind, batches):
+    """The forests of groups (key, x, y) that come one after the other; a group may go on in the next batch."""
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        at = pdf[["key", "x", "y"]].to_numpy()
+        starts = np.append(0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1)
+        rest = pdf.iloc[starts[-1] :]
+        found = [p for i, j in zip(starts, starts[1:]) if j - i > 1 for p in _close_pairs(kind, pdf.iloc[i:j])]
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    if rest is not None and len(rest) > 1:
+        yield pd.DataFrame(_close_pairs(kind, rest), columns=["a", "b"], dtype="int64")
 
 
 def _exact_forest(kind: Kind, key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +167,12 @@ def _payloads(kind: Kind, docs: DataFrame, nodes: DataFrame, groups: DataFrame,
     """Rows of the groups' fields, node and payload. ``groups``: node and an array of structs of those fields."""
     items = groups.join(nodes.select("node", "doc", "f1", "f2"), "node").groupBy("doc").agg(F.collect_list(F.struct("node", "f1", "f2", "groups")).alias("items"))
     items = cut(items, "wanted")
-    rows = docs.join(items, docs["doc_id"].eqNullSafe(items["doc"])).select("text", "items")
+    # only texts whose id falls into a wanted bucket are dealt out: the filter has FILTER_BUCKETS rows at most, so it is
+    # broadcast whatever the data, and what it lets through beyond the wanted is left to the join
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).alias("_bucket")
+    wanted = items.select(bucket("doc")).distinct()
+    near = docs.select("doc_id", "text", bucket("doc_id")).join(F.broadcast(wanted), "_bucket", "left_semi")
+    rows = near.join(items, near["doc_id"].eqNullSafe(items["doc"])).select("text", "items")
     return map_batches(rows, partial(_spokes, kind, fields + _NODE), f"{schema}, node long, payload binary")
 
 
@@ -199,11 +224,13 @@ def _forest(kind: Kind, bands: DataFrame, buckets: DataFrame, nodes: DataFrame,
         return None
     rows = labelled.drop("members").join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # block x meets block y for x <= y: the left side is every row with its later blocks, the right side with its earlier ones
-    left = rows.withColumn("x", own).withColumn("y", F.explode(F.sequence(own, F.col("blocks") - 1))).select("key", "x", "y", "node", "n", "comp", "sketch")
-    right = rows.withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), own))).select("key", "x", "y", "node", "n", "comp", "sketch")
-    right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same rows
-    found = left.groupBy("key", "x", "y").cogroup(right.groupBy("key", "x", "y")).applyInPandas(partial(_close_forest, kind), "a long, b long")
+    # block x meets block y for x <= y; within x = y a block meets itself, so its rows come once
+    last = F.col("blocks") - 1
+    places = F.concat(F.transform(F.sequence(own, last), lambda y: F.struct(own.alias("x"), y.alias("y"), F.lit(0).alias("side"))), F.when(own > 0, F.transform(F.sequence(F.lit(0), F.greatest(own - 1, F.lit(0))), lambda x: F.struct(x.alias("x"), own.alias("y"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<x:int,y:int,side:int>>")))
+    placed = rows.select("key", F.explode(places).alias("p"), "node", "n", "comp", "sketch").select("key", "p.*", "node", "n", "comp", "sketch")
+    # dealt by key and sorted, many small groups share a task without a call for each
+    dealt = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "node")
+    found = dealt.mapInPandas(partial(_close_forests, kind), "a long, b long")
     return cut(found.distinct(), "forest")
 
 
