@@ -268,6 +268,12 @@ def _link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return comps
 
 
+def _doubled(hooks: DataFrame) -> DataFrame:
+    """Each label's hook followed once more, and whether that moved it."""
+    far = hooks.toDF("to", "far")
+    return hooks.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the ends of links (a, b): comp is the smallest node that can be reached.
 
@@ -281,11 +287,11 @@ def components(links: DataFrame) -> DataFrame:
         if edges.isEmpty():
             return comps
         hooks = cut(edges.groupBy("a").agg(F.min("b").alias("b")).toDF("label", "to"), "hooks")
-        while True:
-            on = hooks.toDF("to", "far")
-            moved = cut(hooks.join(on, "to", "left").select("label", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "hooks")
-            hooks = moved.select("label", "to")
-            if moved.filter("moved").isEmpty():
+        while True:  # twice the doubling for each write: most chains end within four hooks
+            hooks = cut(_doubled(_doubled(hooks).select("label", "to")), "hooks")
+            done = hooks.filter("moved").isEmpty()
+            hooks = hooks.select("label", "to")
+            if done:
                 break
         comps = cut(comps.join(hooks.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
         edges = edges.join(hooks.toDF("a", "ta"), "a", "left").join(hooks.toDF("b", "tb"), "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))

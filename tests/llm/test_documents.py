@@ -114,7 +114,7 @@ def test_near_duplicates_equal_all_pairs(spark):
     same(near_dup.near_duplicates(df, k=4), near_dup.ORACLE_SQL, documents=df.select("doc_id", "text").toPandas())
     kept = near_dup.drop_near_duplicates(df, k=4)
     assert kept.columns == df.columns
-    want = {r.doc_id for r in near_dup.near_duplicates(df, k=4).filter("kept").collect()}
+    want = {d["doc_id"] for d in duck(near_dup.ORACLE_SQL, documents=df.select("doc_id", "text").toPandas()) if d["kept"]}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
@@ -154,7 +154,7 @@ def test_line_dedup(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, line string")
     out = line_dedup.dedup_lines(df)
     got = {r.doc_id: r for r in out.collect()}
-    assert out.count() == len(rows) and out.columns == ["doc_id", "text", "line", "_n_lines", "_n_removed"]
+    assert len(out.collect()) == len(rows) and out.columns == ["doc_id", "text", "line", "_n_lines", "_n_removed"]
     assert got[2].text == rows[1][1] and got[2]._n_removed == 0  # the smallest id keeps its line
     assert got[5].text == "\n".join(rows[0][1].split("\n")[1:]) and got[5]._n_removed == 1
     assert got[9].text == "" and got[7].text == other
