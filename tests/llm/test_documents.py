@@ -50,7 +50,7 @@ def edge_frame(spark):
 
 def test_quality_report_equals_sql(spark):
     df = edge_frame(spark)
-    same(quality.quality_report(df), quality.ORACLE_SQL, documents=df.toPandas())
+    same(quality.quality_report(df), quality.ORACLE_SQL, documents=df.toArrow())
     assert quality.quality_report(df.limit(0)).count() == 0
 
 
@@ -65,7 +65,7 @@ def test_quality_filter_agrees_with_the_report_and_any_order(spark):
 
 def test_license_scan_equals_sql(spark):
     df = edge_frame(spark)
-    same(license_scan.license_scan(df), license_scan.oracle_sql(), documents=df.toPandas())
+    same(license_scan.license_scan(df), license_scan.oracle_sql(), documents=df.toArrow())
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
@@ -111,10 +111,10 @@ def near_frame(spark):
 
 def test_near_duplicates_equal_all_pairs(spark):
     df = near_frame(spark)
-    same(near_dup.near_duplicates(df, k=4), near_dup.ORACLE_SQL, documents=df.select("doc_id", "text").toPandas())
+    same(near_dup.near_duplicates(df, k=4), near_dup.ORACLE_SQL, documents=df.select("doc_id", "text").toArrow())
     kept = near_dup.drop_near_duplicates(df, k=4)
     assert kept.columns == df.columns
-    want = {d["doc_id"] for d in duck(near_dup.ORACLE_SQL, documents=df.select("doc_id", "text").toPandas()) if d["kept"]}
+    want = {d["doc_id"] for d in duck(near_dup.ORACLE_SQL, documents=df.select("doc_id", "text").toArrow()) if d["kept"]}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
