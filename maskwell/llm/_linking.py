@@ -37,6 +37,9 @@ class Kind(Protocol):
     def keys(self, sketches: np.ndarray) -> np.ndarray:
         """64-bit bucket keys, a row for each sketch."""
 
+    def ragged_keys(self, n: np.ndarray, sketches: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """In place of keys() where nodes have tokens: places of the nodes, and a key for each."""
+
     def possible(self, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
         """Whether the sizes alone allow a link."""
 
@@ -62,8 +65,13 @@ def _matrix(kind: Kind, column) -> np.ndarray:
 
 
 def _bucket_rows(kind: Kind, batch: pa.RecordBatch):
-    keys = kind.keys(_matrix(kind, batch.column("sketch").to_pylist()))
-    nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), keys.shape[1])
+    sketches, nodes = _matrix(kind, batch.column("sketch").to_pylist()), batch.column("node").to_numpy(zero_copy_only=False)
+    if "tokens" in batch.schema.names:
+        places, keys = kind.ragged_keys(batch.column("n").to_numpy(zero_copy_only=False), sketches, batch.column("tokens").to_pylist())
+        nodes = nodes[places]
+    else:
+        keys = kind.keys(sketches)
+        nodes = np.repeat(nodes, keys.shape[1])
     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
 
 
@@ -237,7 +245,7 @@ def _forest(kind: Kind, bands: DataFrame, buckets: DataFrame, nodes: DataFrame,
 def link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp) of every node that is linked with another; comp is the smallest node of its component.
 
-    ``docs``: doc_id and text. ``nodes``: node, n, sketch, and by which doc (a doc_id) and fingerprint (f1, f2) the thing is
+    ``docs``: doc_id and text. ``nodes``: node, n, sketch, tokens if keys are drawn from them, and by which doc (a doc_id) and fingerprint (f1, f2) the thing is
     found in a text; read more than once, so it should be a cut. The result is a cut; all others made here are deleted.
     """
     narrow_batches(nodes.sparkSession)
@@ -246,7 +254,7 @@ def link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    bands = cut(map_batches(nodes.select("node", "sketch"), partial(_bucket_rows, kind), "key long, node long"), "bands")
+    bands = cut(map_batches(nodes.select("node", "sketch", *(c for c in ("n", "tokens") if "tokens" in nodes.columns)), partial(_bucket_rows, kind), "key long, node long"), "bands")
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = cut(buckets, "buckets")
     star = bands.join(buckets.select("key", "pivot"), "key").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()

@@ -163,6 +163,53 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def replaced(line, k, rnd):
+    w = line.split(" ")
+    for i in rnd.sample(range(len(w)), k):
+        w[i] = rnd.choice(WIDE) if rnd.random() < 0.5 else "zz" + str(rnd.randrange(10**9))
+    return " ".join(w)
+
+
+WIDE = [f"w{i}" for i in range(20_000)]
+SHAPES = [(5, 1), (10, 1), (10, 2), (20, 2), (20, 4), (40, 8), (60, 6), (60, 12), (150, 30)]
+
+
+def test_lines_meet_at_the_threshold_whatever_the_number_of_lines():
+    rnd = random.Random(21)
+    for words, k in SHAPES:
+        a = [" ".join(WIDE[int(20_000 * rnd.random() ** 3)] for _ in range(words)) for _ in range(400)]
+        lines = [x.encode() for x in a + [replaced(x, k, rnd) for x in a]]
+        hashes, _ = near_dup.word_hashes(lines)
+        counts = np.bincount((hashes % np.uint64(line_dedup.COUNTERS)).astype(int), minlength=line_dedup.COUNTERS)
+        kind = line_dedup.Lines()
+        n = np.full(len(lines), words)
+        sketches = np.concatenate([line_dedup.simhashes(lines), line_dedup.parities(lines)], axis=1)
+        # the counters of a far larger corpus: no word is rare, and the order is another one
+        for levels in (line_dedup.word_levels(counts), line_dedup.word_levels(counts * 1_000_000 + 7)):
+            places, keys = kind.ragged_keys(n, sketches, line_dedup.rare_words(lines, levels, 0.8))
+            own = [set() for _ in lines]
+            for p, x in zip(places.tolist(), keys.tolist()):
+                own[p].add(x)
+            assert all(own[i] & own[i + 400] for i in range(400)), (words, k)
+            assert max(map(len, own)) < 200
+        assert kind.likely(n[:400], sketches[:400], n[400:], sketches[400:])[1].all()
+
+
+def test_line_dedup_finds_all_that_brute_force_does(spark):
+    rnd = random.Random(22)
+    rows = []
+    for words, k in SHAPES:
+        for _ in range(25):
+            a = " ".join(rnd.choice(WIDE) for _ in range(words))
+            w = replaced(a, k, rnd).split(" ")
+            rows += [a, " ".join(w)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    split = [t.split(" ") for t in rows]
+    found = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r._n_removed}
+    assert all(line_dedup.edit_distance(split[i - 1], split[i], len(split[i])) <= 0.2 * len(split[i]) for i in range(1, len(rows), 2))
+    assert found == set(range(1, len(rows), 2))
+
+
 def test_simhash_is_near_for_near_lines():
     rnd = random.Random(8)
     a = prose(60, rnd)
