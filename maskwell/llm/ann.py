@@ -3,8 +3,9 @@
 Codebooks of 16 centroids for each pair of dimensions are fitted on a bounded sample. The loss of a reconstruction weighs
 the residual that is parallel to the vector more than the orthogonal one, as only that one moves large inner products;
 assignment goes by coordinate descent over the subspaces, and a centroid solves the weighted least squares of its points.
-Codes are four bits; two share a byte. A scan looks up, for each query, a table of 256 sums for each byte and adds them; its
-best candidates are ranked again by exact inner products in double precision.
+Codes are four bits; two share a byte. A scan looks up, for each query, a table of 256 sums for each byte and adds them. The
+best by that are ranked again by exact inner products in double precision, and after them, chunk by chunk, all others whose
+code score and largest error (the residual's norm by the query's) reach the best k + 1 so far: no cut loses one of them.
 
 Equal vectors are one entry with their smallest ids, so copies can't crowd out others. Entries are dealt into slots; the
 stated queries, in blocks, are scanned against every slot, and each slot returns its exact best. A slot, a block and what
@@ -24,7 +25,7 @@ from ._common import cut
 
 #: Vectors that the codebooks are fitted on, at most: those of the smallest hash of their id.
 TRAIN_ROWS = 10_000
-#: Entries of one slot, queries of one block, and candidates of a slot that are ranked again for each query.
+#: Entries of one slot, queries of one block, and candidates of a slot that are ranked again for each query at once.
 SLOT, BLOCK, RERANK = 8192, 1024, 192
 #: Inner products of a unit vector from which errors matter; it sets the weight of the parallel residual.
 SCORE_THRESHOLD = 0.2
@@ -92,6 +93,11 @@ class Codebooks:
             codes = np.concatenate([codes, np.zeros((len(codes), 1), codes.dtype)], axis=1)
         return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Norms of what the codes leave of the vectors."""
+        back = np.stack([self.centres[i][codes[:, i]] for i in range(codes.shape[1])], axis=1)
+        return np.linalg.norm((self._split(x.astype(np.float64)) - back).reshape(len(x), -1), axis=1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, bytes, 256): what each byte of a code adds to the inner product."""
         t = np.einsum("qmd,mkd->qmk", self._split(q.astype(np.float64)), self.centres).astype(np.float32)
@@ -113,25 +119,27 @@ def _encoded(books: Codebooks, slots: int, dim: int, batches):
     for pdf in batches:
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(x, axis=1)
-        packed = books.pack(books.encode(x / norm[:, None]))
+        unit = x / norm[:, None]
+        codes = books.encode(unit)
+        packed, left = books.pack(codes), books.residuals(unit, codes)
         for slot, own in pdf.groupby("slot").indices.items():
             ids = pdf["ids"].to_numpy()[own]
-            yield pd.DataFrame({"slot": [slot], "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "counts": [np.array([len(i) for i in ids], np.int32).tobytes()], "norms": [norm[own].tobytes()], "codes": [packed[own].tobytes()], "vectors": [x[own].tobytes()]})
+            yield pd.DataFrame({"slot": [slot], "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "counts": [np.array([len(i) for i in ids], np.int32).tobytes()], "norms": [norm[own].tobytes()], "residuals": [left[own].tobytes()], "codes": [packed[own].tobytes()], "vectors": [x[own].tobytes()]})
 
 
 def _scan(books: Codebooks, dim: int, k: int, rerank: int, queries: pd.DataFrame, slot: pd.DataFrame) -> pd.DataFrame:
-    """The best ``k`` + 1 entries of a slot for each query of a block: exact scores of the best codes."""
+    """The best ``k`` + 1 entries of a slot for each query of a block, by exact scores."""
     out_q, out_ids, out_scores = [], [], []
     if len(queries) and len(slot):
         counts = np.concatenate([np.frombuffer(c, np.int32) for c in slot["counts"]])
         ids = np.concatenate([np.frombuffer(c, np.int64) for c in slot["ids"]])
-        norms = np.concatenate([np.frombuffer(c, np.float64) for c in slot["norms"]]).astype(np.float32)
+        norms, left = (np.concatenate([np.frombuffer(x, np.float64) for x in slot[c]]) for c in ("norms", "residuals"))
         vectors = np.concatenate([np.frombuffer(c, np.float64) for c in slot["vectors"]]).reshape(-1, dim)
         codes = np.concatenate([np.frombuffer(c, np.uint8) for c in slot["codes"]]).reshape(len(counts), -1)
         first = np.cumsum(counts) - counts
         smallest = ids[first]
         order = np.argsort(smallest)  # of equal scores the smallest id comes first
-        codes, norms, first, counts, vectors = np.ascontiguousarray(codes[order].T), norms[order], first[order], counts[order], vectors[order]
+        codes, norms, left, first, counts, vectors = np.ascontiguousarray(codes[order].T), norms[order], left[order], first[order], counts[order], vectors[order]
         n, keep = len(counts), min(len(counts), max(rerank, k + 1))
         q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
         for a in range(0, len(q), 32):
@@ -139,15 +147,34 @@ def _scan(books: Codebooks, dim: int, k: int, rerank: int, queries: pd.DataFrame
             scores = np.zeros((len(tables), n), np.float32)
             for j in range(codes.shape[0]):
                 scores += tables[:, j].take(codes[j], axis=1)
-            scores *= norms
+            # what a score may be at most; the last term is for the rounding of the tables' sums
+            size = np.linalg.norm(q[a : a + 32], axis=1)
+            top = (scores + size[:, None] * left + np.abs(tables).max(axis=2).sum(axis=1)[:, None] * 1e-5) * norms
+            scores = scores * norms
             near = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(tables), 1))
             for row, own in enumerate(near):
-                own = np.sort(own)
                 exact = _inner(q[a + row], vectors[own])
-                best = np.lexsort((own, -exact))[: k + 1]
+                least = np.partition(exact, -k - 1)[-k - 1] if keep > k else -np.inf
+                rest = top[row] >= least
+                rest[own] = False
+                rest = np.flatnonzero(rest)
+                rest = rest[np.argsort(-top[row, rest])]
+                for c in range(0, len(rest), keep):
+                    more = rest[c : c + keep]
+                    if top[row, more[0]] < least:
+                        break
+                    score = _inner(q[a + row], vectors[more])
+                    good = score >= least
+                    own, exact = np.append(own, more[good]), np.append(exact, score[good])
+                    if good.any():
+                        least = np.partition(exact, -k - 1)[-k - 1]
+                        good = exact >= least
+                        own, exact = own[good], exact[good]
+                by = np.lexsort((own, -exact))[: k + 1]
+                best, exact = own[by], exact[by]
                 out_q.append(queries["query_id"].iloc[a + row])
-                out_ids.append(np.concatenate([ids[first[own[b]] : first[own[b]] + counts[own[b]]] for b in best]))
-                out_scores.append(np.repeat(exact[best], counts[own[best]]))
+                out_ids.append(np.concatenate([ids[first[b] : first[b] + counts[b]] for b in best]))
+                out_scores.append(np.repeat(exact, counts[best]))
     rows = []
     for query, some, scores in zip(out_q, out_ids, out_scores):
         other = some != query
@@ -185,7 +212,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, i
     n, n_queries = entries.count(), own.filter(F.col("id") % every == 0).count()
     slots, blocks = max(1, -(-n // SLOT)), max(1, -(-n_queries // BLOCK))
     slotted = entries.withColumn("slot", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(slots)).cast("int"))
-    binary = "slot int, ids binary, counts binary, norms binary, codes binary, vectors binary"
+    binary = "slot int, ids binary, counts binary, norms binary, residuals binary, codes binary, vectors binary"
     index = cut(slotted.select("slot", "ids", "embedding").mapInPandas(partial(_encoded, books, slots, dim), binary), "index")
     queries = own.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     left = queries.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))

@@ -334,6 +334,24 @@ def test_nearest_neighbours_against_brute_force(spark):
     assert [(r.query_id, r.vec_id) for r in ann.nearest(few).collect()] == [(0, 3)]
 
 
+def test_nearest_neighbours_inside_a_hot_group_of_near_copies(spark):
+    rnd = np.random.Generator(np.random.PCG64(12))
+    n, d = 3000, 16
+    x = rnd.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for noise, own in ((0.001, slice(0, 500)), (0.1, slice(500, 1000))):
+        x[own] = x[own.start] + noise / d**0.5 * rnd.normal(size=(500, d))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, every=50).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == n // 50
+    for q, own in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [i for _, i in sorted(own)] == np.argsort(-score)[:20].tolist(), q
+
+
 def test_parallel_error_is_what_the_codes_avoid():
     rnd = np.random.Generator(np.random.PCG64(5))
     x = rnd.normal(size=(2000, 32))
