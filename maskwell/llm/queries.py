@@ -33,7 +33,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_words=1)
     return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
 
 

@@ -394,3 +394,12 @@ def test_pipeline_stages(spark, small, tmp_path):
             docs = out
     assert 10_002 not in seen[0] and 10_003 in seen[0] and 10_003 not in seen[1] and 10_001 not in seen[3]
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] == seen[4] and len(seen[4]) > 20
+
+
+def test_short_and_unspaced_lines(spark):
+    a, b = "今日は天気がとても良いので散歩に行きましょう", "今日は天気がとても良いので買物に行きましょう"
+    rows = [(1, f"Read more\n{a}\n--\nbig cat sat"), (2, f"own\nread more!\n{b}\n--"), (3, "big cat sits\nล้างมือก่อนกินข้าว"), (4, "ล้างมือก่อนกินข้าว\nbig cat sat\nread")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, exact_words=1).collect()}
+    assert out == {1: rows[0][1], 2: "own\n--", 3: rows[2][1], 4: "read"}
+    assert {r.doc_id: r._n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
