@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each writing Parquet that the next one reads.
 
 Toxic documents go, then those that a quality rule rejects; repeated lines keep one occurrence, and a document that is left
-without any longer line by that goes too; of near duplicates one document stays; what is left is packed into sequences.
+without any word by that goes too; of near duplicates one document stays; what is left is packed into sequences.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand elsewhere already; n_chars follows the text. A document that loses lines and
-    keeps none of MIN_WORDS words goes: it was a copy."""
-    out = line_dedup.dedup_lines(docs)
-    long_line = F.exists(F.split("text", "\n"), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) >= line_dedup.MIN_WORDS)
-    out = out.filter((F.col("_n_removed") == 0) | long_line)
+    """Documents without the lines that stand elsewhere already; n_chars follows the text. Only a document that
+    loses lines and is left without a word goes: nothing of it remains to keep."""
+    out = line_dedup.dedup_lines(docs, exact_words=1)
+    out = out.filter((F.col("_n_removed") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -396,6 +396,16 @@ def test_pipeline_stages(spark, small, tmp_path):
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] == seen[4] and len(seen[4]) > 20
 
 
+def test_line_stage_keeps_documents_with_text_left(spark):
+    import corpus_pipeline
+
+    header = "this page is under the usual terms of use"
+    texts = [f"{header}\nalpha beta\ngamma", f"{header}\nown short\nlines only", header, f"{header}\n \n", "no shared line\nhere"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    assert out == {0: (texts[0], len(texts[0])), 1: ("own short\nlines only", 20), 4: (texts[4], len(texts[4]))}
+
+
 def test_short_and_unspaced_lines(spark):
     a, b = "今日は天気がとても良いので散歩に行きましょう", "今日は天気がとても良いので買物に行きましょう"
     rows = [(1, f"Read more\n{a}\n--\nbig cat sat"), (2, f"own\nread more!\n{b}\n--"), (3, "big cat sits\nล้างมือก่อนกินข้าว"), (4, "ล้างมือก่อนกินข้าว\nbig cat sat\nread")]
