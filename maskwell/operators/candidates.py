@@ -40,8 +40,17 @@ UPI_HANDLES = frozenset(
     "okaxis okhdfcbank okicici oksbi ybl ibl axl paytm ptaxis pthdfc ptsbi ptyes apl yapl rapl upi waaxis wahdfcbank waicici wasbi axisb fifederal freecharge hfaxis ikwik jupiteraxis naviaxis superyes yesg "
     "airtel aubank axisbank barodampay cnrb csbpay dbs federal hdfcbank hsbc icici idbi idfcbank indus kbl kotak mahb pnb rbl sbi unionbank yesbank".split()
 )
-#: Bank codes of the larger banks; pass the full public list as ``bank_codes`` where it is at hand.
-BANK_CODES = frozenset("SBIN HDFC ICIC UTIB PUNB BARB CNRB UBIN BKID IDIB CBIN IOBA UCBA MAHB PSIB IDFB KKBK YESB INDB FDRL RATN SIBL KARB KVBL CIUB TMBL DCBL DBSS HSBC SCBL CITI DEUT BDBL AUBL ESFB USFB JSFB UJVN AIRP PYTM FINO IPOS JAKA NKGS SVCB COSB".split())
+#: Bank codes with branches in the list of NEFT-enabled branches, from github.com/razorpay/ifsc (MIT licence, Copyright
+#: (c) 2020 Razorpay; the notice is in THIRD-PARTY-NOTICES.md).
+BANK_CODES = frozenset(
+    "AANB ABHY ABNA ADBK ADCC AHDC AIRP AJAR AJHC AKJB ALLA AMCB AMDN ANDB ANZB APBL APGB APGV APMC ARBL ASBL AUBL AUCB BACB BARA BARB BARC BBKM BCBM BCEY BCHN BDBL BKDN BKID BMCB BNPA BNSB BOFA BOTM BUCB "
+    "CBIN CCBL CCIL CHAS CITI CIUB CLBL CNRB COAS CORP COSB CRES CRGB CRLY CRUB CSBK CSBX CTCB DBSS DCBL DCUB DEOB DEUT DICG DLSC DLXB DMKJ DNSB DOHB DURG EBIL EIBI ESFB ESMF FDRL FINO FIRN FSFB GABK GBCB "
+    "GDCB GSCB GSSB HARC HCBL HDFC HITP HPSC HSBC HUSB HVBK IBBK IBKL IBKO ICBK ICIC ICLL IDFB IDIB INDB INPA IOBA IPOS JAKA JANA JASB JIOP JJSB JPCB JSBL JSBP JSFB JTSC KACE KAIJ KANG KARB KBKB KCCB KJSB "
+    "KKBK KLGB KNBL KNSB KOEX KOLH KSBK KSCB KUCB KVBL KVGB LAVB LUCB MAHB MAHG MCAB MCBL MDBK MDCB MHCB MSBL MSCI MSHQ MSLM MSNU MUBL MVCB NBAD NBRD NCUB NDVS NESF NGSB NHBA NICB NJBK NKGS NMCB NNSB NOSC "
+    "NSPB NTBL NVNM ORBC ORCB PHNP PJSB PKGB PMEC PPNT PSBL PSIB PUCB PUNB PYTM QNBA RABO RATN RBIN RBIP RBIS RDCB RMGB RNSB RRBP RSBL RSCB RSSB SABR SAHE SANT SBIN SCBL SDCB SDCE SECB SHBK SIBL SIDC SJSB "
+    "SKNB SKSB SMBC SMCB SMNB SNBK SOGE SPCB SRCB STCB SUNB SURY SUSB SUTB SVCB SVSH SYNB TAUB TBMC TBSB TCBR TDCB TGMB TGRB TJSB TMBL TMSB TNCB TNGB TNSC TPSC TSAB TSSB TTCB UBIN UCBA UCLB UJVN UNBA UOVB "
+    "UPCB URBN USCB UTBI UTIB UTKS UUCB VARA VASJ VCOB VIJB VSBA VSBL VTBJ VVSB WBSC XNSE YESB ZCBL ZSBL".split()
+)
 # Prefixes and lengths of card issuers.
 ISSUERS = (
     ("Visa", (("4", "4"),), (13, 16, 19)),

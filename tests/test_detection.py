@@ -145,3 +145,9 @@ def test_a_registered_detector_goes_through_the_policy():
         assert found("TKT now") == [("SECRET", "TKT")]
     finally:
         EXTRA.clear()
+
+
+@pytest.mark.parametrize("code", ["IBKL0001234", "CSBK0AB12C3", "srcb0000001", "ANDB0000123", "SBIN0001234"])
+def test_bank_codes_of_all_banks_need_no_keyword(code):
+    assert found(f"zzz {code} zzz") == [("IFSC", code)]
+    assert found(f"zzz ZZZZ{code[4:]} zzz") == []
