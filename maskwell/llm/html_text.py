@@ -6,7 +6,8 @@ element and in the whole body. The density sum of an element is the sum over its
 density sum is the article's core. The smallest density on its path up to the body is the threshold by which elements
 around the core count as part of the article; where the page itself marks an article or main element around the core, that
 element is taken whole. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-known by tag, role and class and never count or appear.
+known by tag, role and class and never count or appear. A class, an id or a form tag is no proof: an element known by that
+only is kept if it holds the page's main element, its article, or, with no article elsewhere, most of the text outside links.
 
 White space inside a block becomes one blank, blocks are joined by one blank in page order, references are decoded; nothing
 else is dropped. A null, empty or textless page gives an empty text. Broken markup is read as browsers do in the common
@@ -35,11 +36,17 @@ _NAME = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-_NO_CONTENT = frozenset("script style noscript template iframe object embed applet svg math canvas audio video map head title nav footer aside form button select textarea input label fieldset dialog menu noembed noframes".split())
+_NO_CONTENT = frozenset("script style noscript template iframe object embed applet svg math canvas audio video map head title nav footer aside button select textarea input label fieldset dialog menu noembed noframes".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CLASSES = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay lightbox newsletter subscribe subscription signup nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer foot header masthead topbar comment comments commentlist disqus replies respond related recommended recommendations share sharing social toolbar pagination pager search login skip".split())
 #: Classes that name the page's head only outside an article.
 _HEADS = frozenset(("header", "masthead", "banner"))
+#: Parts of a class name by which it speaks of something else, and what follows "ad" where that is an advert.
+_NEGATIONS = frozenset("no not non has with without hide".split())
+_AD_PARTS = frozenset("ad ads adv banner block bottom box break container content area frame inner left middle outer right side sidebar slot space top unit wrap wrapper zone".split())
+#: Reader comments, however long they are.
+_COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSED_BY = {  # an open element and the start tags that end it
     "li": frozenset(("li",)),
     "dt": frozenset(("dt", "dd")),
@@ -61,14 +68,18 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.noise = [-1], [""], [False]
         self.within = [False]  # an article or main element
+        self.doubtful = [0]  # 1: noise by a name or as a form, unless it holds the text; 2: comments
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) at its start, (~element, None) at its end
         self.start, self.end = [0], [0]
         self._read(source)
+        if any(self.doubtful):
+            self._settle()
 
-    def _open(self, tag: str, parent: int, noise: bool) -> int:
+    def _open(self, tag: str, parent: int, noise: bool, doubtful: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.noise.append(noise)
+        self.doubtful.append(doubtful)
         self.within.append(self.within[parent] or tag in ("article", "main"))
         self.start.append(len(self.events))
         self.end.append(-1)
@@ -113,7 +124,8 @@ class Page:
             while len(stack) > 1 and self._ends(stack, name):
                 self._close(stack.pop())
             attributes = source[m.end() : stop - 1]
-            node = self._open(name, stack[-1], self.noise[stack[-1]] or self._is_noise(name, attributes, self.within[stack[-1]]))
+            kind = self._is_noise(name, attributes, self.within[stack[-1]])
+            node = self._open(name, stack[-1], self.noise[stack[-1]] or kind is True, 0 if kind is True else kind)
             if name in _VOID:
                 self._close(node)
             elif name in _RAW:
@@ -146,26 +158,76 @@ class Page:
             if tag in _SCOPE and name not in _SCOPE:
                 return
 
+    def _settle(self) -> None:
+        """Decides on the doubtful elements by what they hold, and hands noise down."""
+        n = len(self.tag)
+        chars, linked, main = [0] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+        for node, text in self.events:
+            if text is not None and not self.noise[node] and not linked[node]:
+                chars[node] += sum(map(len, text.split()))
+        own = chars.copy()
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            main[i] |= self.tag[i] == "main" and chars[i] > 0 and not self.noise[i]
+            main[self.parent[i]] |= main[i]
+        # articles within and around each element: one that leaves none outside may be kept for its share of the text
+        marked = [int(t in ("article", "main") and chars[i] > 0 and not self.noise[i]) for i, t in enumerate(self.tag)]
+        inner, around = marked.copy(), marked.copy()
+        for i in range(n - 1, 0, -1):
+            inner[self.parent[i]] += inner[i]
+        for i in range(1, n):
+            around[i] += around[self.parent[i]]
+        keep = [not d or main[i] or d == 1 and 2 * chars[i] > chars[0] and inner[i] + around[i] - marked[i] == inner[0] for i, d in enumerate(self.doubtful)]
+        lost = [False] * n
+        for i in range(1, n):
+            lost[i] = lost[self.parent[i]] or not keep[i]
+        articles = [i for i in range(n) if self.tag[i] == "article" and chars[i] and not self.noise[i]]
+        if articles:  # the page's article, if no more text than its own is outside all that is doubtful
+            best = at = max(articles, key=lambda i: (chars[i], -i))
+            held = []
+            while at > 0:
+                held.append(at)
+                at = self.parent[at]
+            if lost[best] and chars[best] >= sum(c for c, x in zip(own, lost) if not x) and all(self.doubtful[i] < 2 for i in held):
+                for i in held:
+                    keep[i] = True
+        for i in range(1, n):
+            self.noise[i] = self.noise[i] or self.noise[self.parent[i]] or not keep[i]
+
+    @staticmethod
+    def _named(name: str, inside: bool) -> int:
+        """Whether one class name or id names noise; 2 for comments."""
+        parts = _NAME.findall(name)
+        if _NEGATIONS.intersection(parts):
+            return 0
+        hits = {x for i, x in enumerate(parts) if x in _CLASSES and (x != "ad" or i + 1 == len(parts) or parts[i + 1] in _AD_PARTS)}
+        if inside:
+            hits -= _HEADS
+        return (2 if hits & _COMMENTS else 1) if hits else 0
+
     @staticmethod
-    def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
+    def _is_noise(tag: str, attributes: str, inside: bool) -> bool | int:
+        """True: noise whatever it holds; else what ``doubtful`` says."""
         if tag in _NO_CONTENT or tag == "header" and not inside:
             return True
+        doubtful = int(tag == "form")
         if not attributes or tag in ("html", "body", "article", "main"):
-            return False
+            return doubtful
         low = attributes.lower()
         if not any(k in low for k in ("class", "id", "role", "hidden", "style")):
-            return False
+            return doubtful
         for m in _ATTRIBUTE.finditer(low):
             key, value = m[1] or m[5], m[2] or m[3] or m[4] or ""
             if key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 return True
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if key in ("class", "id"):
-                names = set(_NAME.findall(value))
-                if names & (_CLASSES - _HEADS if inside else _CLASSES):
-                    return True
-        return False
+            # ids of headings, and of sections in an article, are made from titles
+            if key == "class" or key == "id" and tag not in _HEADINGS and not (tag == "section" and inside and value.strip() not in _COMMENTS):
+                doubtful = max([doubtful, *(Page._named(x, inside) for x in value.split())])
+        return doubtful
 
 
 def _densities(page: Page) -> tuple[list[float], list[float], list[int]]:

@@ -413,3 +413,18 @@ def test_short_and_unspaced_lines(spark):
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, exact_words=1).collect()}
     assert out == {1: rows[0][1], 2: "own\n--", 3: rows[2][1], 4: "read"}
     assert {r.doc_id: r._n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_names_are_noise_only_where_the_text_is_elsewhere():
+    body = "Long words of the article itself, more than anything else has here."
+    for source in (
+        f"<body><div class='layout with-sidebar'><article><p>{body}</article><div class='sidebar'>side</div></div>",
+        f"<body><div id='page' class='no-sidebar'><p>{body}</p></div>",
+        f"<body><div class='sidebar-layout'><article><p>{body}</article></div><div class=comments>{body * 3}</div>",
+        f"<body><form action=x><div><p>{body}</p><input><label>Name</label></div><div class=menu>Home</div></form>",
+        f"<body><div class=widget-page><main><p>{body}</main></div><div class=related><article>Short teaser</article></div>",
+        f"<body><div><p>{body}</p></div><div class=related><article>Short teaser</article></div><div class='ad-slot'>Buy</div><form>Sign up</form>",
+    ):
+        assert html_text.main_text(source) == body, source
+    titles = "<section id='related-work'><h2 id='notice-period'>Notice</h2>a</section><h2 id='search'>Search</h2><p class='ad-hoc'>b</p>"
+    assert html_text.main_text(f"<body><article><p>{body}</p>{titles}<section id=comments>c</section><div class=share-bar>d</div></article>") == f"{body} Notice a Search b"
