@@ -1,6 +1,7 @@
-"""License scans by a positional rare-token index, in DataFrame functions only.
+"""License scans by rare anchor words and positions, in DataFrame functions only.
 
-The index has each template's words with their positions. One pass counts, over all documents, how many hold each licence
+Each template has its words with their positions; there is no index over the documents, and each text is scanned once for
+each template. One pass counts, over all documents, how many hold each licence
 word; in each template's mandatory key phrase the word of highest inverse document frequency becomes its anchor. A scan
 looks up the anchors in a document; each occurrence fixes where the template would start, and the template's postings are
 intersected by relative position: the share of its words that stand where they should. A match needs that share and its
