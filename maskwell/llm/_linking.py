@@ -84,6 +84,31 @@ def _likely(kind: Kind, batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(est[ok].astype(float))], ["a", "b", "est"])
 
 
+class Roots:
+    """Union-find over the numbers below ``n``."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Unites both; whether they were apart."""
+        a, b = self.root(i), self.root(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+    def flat(self) -> np.ndarray:
+        """The root of each."""
+        up = np.array(self.up, np.int64)
+        while (far := up[up]).tolist() != up.tolist():
+            up = far
+        return up
+
+
 class _Forest:
     """Union-find over labels; ``__call__`` asks whether two rows are still apart, ``join`` unites them."""
 

@@ -69,19 +69,24 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse_powers
 
 
-def word_hashes(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts (A-Z lower-cased; bytes as they are), and the index of each text's first word, the number of
-    words last. Words are runs without blank, tab, line feed, vertical tab, form feed and carriage return."""
-    raw = [t if isinstance(t, bytes) else t.encode().lower() for t in texts]
-    sizes = np.array([len(r) + 1 for r in raw], np.int64)
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    word = ~_GAP[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in some bytes, and where each starts. Words are runs without blank, tab, line feed, vertical
+    tab, form feed and carriage return."""
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = ~_GAP[data]
+    edge = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edge[::2], edge[1::2]
     up, down = _power_tables(len(data) + 1)
-    sums = np.concatenate([[_U(0)], np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U)])
-    hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U, out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U)), starts
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, and the index of each text's first word, the number of words last."""
+    raw = [t.encode().lower() for t in texts]
+    hashes, starts = hashed_words(np.frombuffer(b" ".join(raw) + b" ", np.uint8))
+    bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
     return hashes, np.searchsorted(starts, bounds)
 
 

@@ -178,42 +178,72 @@ def test_lines_meet_at_the_threshold_whatever_the_number_of_lines():
     rnd = random.Random(21)
     for words, k in SHAPES:
         a = [" ".join(WIDE[int(20_000 * rnd.random() ** 3)] for _ in range(words)) for _ in range(400)]
-        lines = [x.encode() for x in a + [replaced(x, k, rnd) for x in a]]
-        hashes, _ = near_dup.word_hashes(lines)
-        counts = np.bincount((hashes % np.uint64(line_dedup.COUNTERS)).astype(int), minlength=line_dedup.COUNTERS)
-        kind = line_dedup.Lines()
-        n = np.full(len(lines), words)
-        sketches = np.concatenate([line_dedup.simhashes(lines), line_dedup.parities(lines)], axis=1)
-        # the counters of a far larger corpus: no word is rare, and the order is another one
-        for levels in (line_dedup.word_levels(counts), line_dedup.word_levels(counts * 1_000_000 + 7)):
-            places, keys = kind.ragged_keys(n, sketches, line_dedup.rare_words(lines, levels, 0.8))
-            own = [set() for _ in lines]
+        b = [replaced(x, k, rnd) for x in a]
+        own = line_dedup.Words("\n".join(a + b).encode())
+        runs = own.runs(line_dedup.RUN, own.sizes >= 3)[1]
+        counts = np.bincount((runs % np.uint64(line_dedup.COUNTERS)).astype(int), minlength=line_dedup.COUNTERS)
+        larger = counts * 3 + np.random.default_rng(3).poisson(100_000, len(counts))  # a corpus of 10^11 words
+        for c in (counts, larger):
+            places, keys = own.keys(line_dedup.frequency_ranks(c), 4)
+            sets = [set() for _ in a + b]
             for p, x in zip(places.tolist(), keys.tolist()):
-                own[p].add(x)
-            assert all(own[i] & own[i + 400] for i in range(400)), (words, k)
-            assert max(map(len, own)) < 200
-        assert kind.likely(n[:400], sketches[:400], n[400:], sketches[400:])[1].all()
-
-
-def test_line_dedup_finds_all_that_brute_force_does(spark):
+                sets[p].add(x)
+            met = sum(bool(sets[i] & sets[i + 400]) for i in range(400))
+            assert met == 400 if words <= line_dedup.RUNS + 2 else met >= 396, (words, k, met)
+            assert max(map(len, sets)) <= 2 * line_dedup.RUNS
+        sims = own.simhashes()
+        assert not line_dedup._far(sims[:400], sims[400:]).any()
+
+
+def line_groups(rows, similarity=0.8):
+    """By all pairs: the smallest place of each line's group, and the links."""
+    words = [line_dedup.normalised(t).split() for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if words[i] == words[j] or (min(len(words[i]), len(words[j])) >= 4 and line_dedup.similar(words[i], words[j], similarity))]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    return comp, links
+
+
+@pytest.mark.parametrize("size", [150, 900])
+def test_line_dedup_equals_all_pairs(spark, size):
     rnd = random.Random(22)
     rows = []
-    for words, k in SHAPES:
-        for _ in range(25):
-            a = " ".join(rnd.choice(WIDE) for _ in range(words))
-            w = replaced(a, k, rnd).split(" ")
-            rows += [a, " ".join(w)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
-    split = [t.split(" ") for t in rows]
-    found = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r._n_removed}
-    assert all(line_dedup.edit_distance(split[i - 1], split[i], len(split[i])) <= 0.2 * len(split[i]) for i in range(1, len(rows), 2))
-    assert found == set(range(1, len(rows), 2))
+    while len(rows) < size:
+        words, k = rnd.choice(SHAPES)
+        a = " ".join(rnd.choice(WIDE[:3000]) for _ in range(words))
+        rows += [a, replaced(a, k, rnd), replaced(a, min(k + 2, words), rnd), " ".join(a.split(" ")[: words - k])]
+    comp, links = line_groups(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    removed = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r._n_removed}
+    want = {i for i, c in enumerate(comp) if c != i}
+    assert removed <= want and len(removed) >= 0.99 * len(want) and len(links) > size / 4
+
+
+def test_large_groups_of_lines_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 40)
+    rnd = random.Random(23)
+    head, base = prose(12, rnd), [prose(14, rnd) for _ in range(12)]
+    rows = [f"{head} {replaced(b, rnd.randint(0, 6), rnd)}" for b in base for _ in range(12)] + [replaced(f"{head} {base[0]}", 3, rnd) for _ in range(60)]
+    comp, _ = line_groups(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r._n_removed} == {i for i, c in enumerate(comp) if c != i}
+
+
+def test_lines_of_long_texts_and_clashing_columns(spark):
+    line = prose(30)
+    huge = "\n".join(prose(12) for _ in range(3000)) + "\n" + line + "\n" + prose(30_000)
+    df = spark.createDataFrame([(1, line, "a", "b", 3, 4), (2, huge, "a", "b", 3, 4), (3, "\n\n \n", "a", "b", 3, 4)], "doc_id long, text string, _id0 string, _DROP0 string, _n_lines int, mark int")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert out[2]._n_removed >= 1 and out[2].text == huge.replace("\n" + line, "") and out[1].text == line and out[3].text == "\n\n \n"
+    assert out[1]._id0 == "a" and out[1]._DROP0 == "b" and out[1].mark == 4
 
 
 def test_simhash_is_near_for_near_lines():
     rnd = random.Random(8)
     a = prose(60, rnd)
-    x, y, z = line_dedup.simhashes([x.encode() for x in (a, edited(a, 1, rnd), prose(60, rnd))])
+    x, y, z = line_dedup.Words("\n".join((a, edited(a, 1, rnd), prose(60, rnd))).encode()).simhashes()
     assert np.bitwise_count(x ^ y).sum() < 30 < np.bitwise_count(x ^ z).sum()
 
 
