@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,13 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of plans that nobody holds any more; without a collection on the driver they stay on
+    the executors' disks for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Cuts made inside are deleted at the end, but for those passed to what this yields. What is kept must not be planned
