@@ -18,19 +18,25 @@ import base64
 import hashlib
 import heapq
 import json
+from collections.abc import Callable
 from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from ._common import map_batches, parts, text_frame, texts_of
 
 #: Characters handled at once.
-STEP_CHARS = 1_000_000
-#: Pieces in each of the two generations of a cache.
-CACHE_PIECES = 200_000
+STEP_CHARS = 100_000
+#: Pieces that a cache holds, about.
+CACHE_PIECES = 400_000
+_U = np.uint64
+#: The lowest bytes of a word, by how many.
+_LOW = np.array([256**i - 1 for i in range(9)], _U)
 
 # Classes of a character: letter, number, other, contraction of one or two letters, white space that more white space or
 # the end follows, a blank that a word follows, other white space that a word follows.
@@ -157,11 +163,12 @@ _NONE = np.int32(2**31 - 1)
 class Merges:
     """Which pairs of ids merge, in which order, and into which id; ``bytes_id`` are the ids of the 256 bytes.
 
-    Pieces are merged many at a time: a row for each piece, a slot for each byte, neighbours by linked lists. Each round
+    ``compiled``, if given, merges a piece by itself. Without it pieces are merged many at a time: a row for each piece, a slot for each byte, neighbours by linked lists. Each round
     merges every row's pair of lowest rank, the leftmost first, and looks up the two pairs that this makes.
     """
 
-    def __init__(self, bytes_id: np.ndarray, pairs: dict[tuple[int, int], tuple[int, int]], width: int):
+    def __init__(self, bytes_id: np.ndarray, pairs: dict[tuple[int, int], tuple[int, int]], width: int, compiled: Callable[[bytes], list[int]] | None = None):
+        self.compiled = compiled
         self.bytes_id, self.width, self.pairs = bytes_id.astype(np.int32), width, pairs
         keys = np.array([a * width + b for a, b in pairs], np.int64)
         order = np.argsort(keys)
@@ -230,9 +237,12 @@ class Merges:
                     heapq.heappush(heap, (r[0], p, at[p], at[q]))
         return np.array([x for x in at if x >= 0], "<u4").tobytes()
 
-    def merge(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, as little-endian unsigned 32-bit bytes."""
-        raw = [p.encode() for p in pieces]
+    def merge(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
+        if self.compiled:
+            lists = list(map(self.compiled, raw))
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
         out: list[bytes] = [b""] * len(raw)
         groups: dict[int, list[int]] = {}
         for i, p in enumerate(raw):
@@ -243,7 +253,7 @@ class Merges:
                 got = self._matrix([raw[i] for i in own], 4 * g) if g else [self._long(raw[i]) for i in own]
                 for i, ids in zip(own, got):
                     out[i] = ids
-        return out
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
 
 def merges_of_ranks(ranks: dict[bytes, int]) -> Merges:
@@ -256,24 +266,81 @@ def merges_of_ranks(ranks: dict[bytes, int]) -> Merges:
     return Merges(np.array([ranks[bytes([i])] for i in range(256)]), pairs, max(ranks.values()) + 1)
 
 
-class PieceCache:
-    """Ids of pieces as little-endian unsigned 32-bit bytes, in two generations of bounded size."""
+class PieceTable:
+    """The ids of pieces, found for many at a time. Pieces of up to 16 bytes stand in a hash table under their own bytes, so
+    that a hit is exact; longer ones in a dictionary. Both are emptied when they hold ``most`` pieces."""
+
+    SLOTS = 1 << 20
 
     def __init__(self, most: int = CACHE_PIECES):
-        self.most, self.young, self.old = most, {}, {}
-
-    def find(self, pieces: list[str], encode) -> list[bytes]:
-        """``encode(list of distinct pieces)`` gives the bytes of those not in the cache."""
-        out = list(map(self.young.get, pieces))
-        if None in out:
-            missed = dict.fromkeys(p for p, v in zip(pieces, out) if v is None)
-            fresh = [p for p in missed if (v := self.old.get(p)) is None or self.young.__setitem__(p, v)]
-            self.young.update(zip(fresh, encode(fresh)))
-            young = self.young
-            out = [young[p] if v is None else v for p, v in zip(pieces, out)]
-            if len(self.young) > self.most:
-                self.old, self.young = self.young, {}
-        return out
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros((self.SLOTS, 2), _U)
+        self.sizes, self.at, self.n = (np.zeros(self.SLOTS, t) for t in (np.uint8, np.int64, np.int32))
+        self.pool, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def _add(self, ids: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        ends = self.used + np.cumsum(n)
+        self.used += len(ids)
+        self.held += len(n)
+        return list(zip((ends - n).tolist(), n.tolist()))
+
+    def _slots(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each key, or the free slot where it belongs; and whether it is there."""
+        mixed = (keys[:, 0] * _U(0x9E3779B97F4A7C15) ^ (keys[:, 1] + _U(0x632BE59BD9B4E019)) * _U(0xC2B2AE3D27D4EB4F)) * _U(0xD6E8FEB86659FD93)
+        slot = (mixed >> _U(44)).astype(np.int64)
+        there = np.zeros(len(keys), bool)
+        rest = np.arange(len(keys))
+        while len(rest):
+            own = slot[rest]
+            hit = (self.sizes[own] == sizes[rest]) & (self.keys[own] == keys[rest]).all(axis=1)
+            there[rest[hit]] = True
+            rest = rest[~hit & (self.sizes[own] > 0)]
+            slot[rest] = (slot[rest] + 1) % self.SLOTS
+        return slot, there
+
+    def find(self, raw: bytes, starts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece of ``raw`` has, and the ids of all; ``starts`` ends with the length of ``raw``.
+        ``encode(list of distinct pieces)`` gives the ids of pieces that are new, and how many each has."""
+        if self.held > self.most:
+            self._clear()
+        begin, sizes = starts[:-1], np.diff(starts)
+        at, n = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        short = np.flatnonzero(sizes <= 16)
+        words = np.ndarray((len(raw) + 9,), "<u8", raw + bytes(16), strides=(1,))
+        own, size = begin[short], sizes[short]
+        keys = np.stack([words[own] & _LOW[np.minimum(size, 8)], words[np.minimum(own + 8, len(raw))] & _LOW[np.maximum(size - 8, 0)]], axis=1)
+        slot, there = self._slots(keys, size)
+        missed = np.flatnonzero(~there)
+        long = np.flatnonzero(sizes > 16)
+        pieces = [raw[a : a + m] for a, m in zip(own[missed].tolist(), size[missed].tolist())]
+        long_pieces = [raw[a : a + m] for a, m in zip(begin[long].tolist(), sizes[long].tolist())]
+        new = dict.fromkeys([*pieces, *(x for x in long_pieces if x not in self.long)])
+        if new:
+            spans = dict(zip(new, self._add(*encode(list(new)))))
+            if len(long):
+                self.long |= {x: v for x, v in spans.items() if len(x) > 16}
+            first = dict(zip(reversed(pieces), reversed(missed.tolist())))
+            rest, own_spans = np.array(list(first.values()), np.int64), np.array([spans[x] for x in first], np.int64).reshape(-1, 2)
+            while len(rest):  # of several that belong in one slot the first takes it, and the others look on
+                where, _ = self._slots(keys[rest], size[rest])
+                where, taken = np.unique(where, return_index=True)
+                self.keys[where], self.sizes[where] = keys[rest[taken]], size[rest[taken]]
+                self.at[where], self.n[where] = own_spans[taken].T
+                rest, own_spans = np.delete(rest, taken), np.delete(own_spans, taken, axis=0)
+            slot[missed], _ = self._slots(keys[missed], size[missed])
+        at[short], n[short] = self.at[slot], self.n[slot]
+        if len(long):
+            at[long], n[long] = np.array([self.long[x] for x in long_pieces], np.int64).T
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return n, self.pool[np.repeat(at - (ends - n), n) + np.arange(total)]
 
 
 def merges_of_json(model: dict) -> Merges:
@@ -284,47 +351,63 @@ def merges_of_json(model: dict) -> Merges:
     for rank, pair in enumerate(model["merges"]):
         a, b = pair.split(" ") if isinstance(pair, str) else pair
         pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
-    return Merges(np.array([vocab[spelt[i]] for i in range(256)]), pairs, max(vocab.values()) + 1)
+    bytes_id = np.array([vocab[spelt[i]] for i in range(256)])
+    made = [into for _, into in pairs.values()]
+    compiled = None
+    if made == sorted(made) and bytes_id.max() < made[0]:  # ids are ranks, which is what the compiled merger goes by
+        known = {*made, *bytes_id.tolist()}
+        back = {v: k for k, v in spelt.items()}
+        ranks = {bytes(map(back.__getitem__, t)): i for t, i in vocab.items() if i in known}
+        compiled = tiktoken.Encoding("merges", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    return Merges(bytes_id, pairs, max(vocab.values()) + 1, compiled)
 
 
 class Encoder:
     """Encodes whole texts: pieces by the automaton, then cached merges. ``special`` strings become their own ids."""
 
     def __init__(self, merges: Merges, special: dict[str, int] | None = None):
-        self.merges, self.cache = merges, PieceCache()
+        self.merges, self.table = merges, PieceTable()
         self.special = special or {}
         self._split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.longest_special = max(map(len, self.special), default=0)
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Where each piece starts (in the texts joined, the total length last), each piece's ids, and the index of each
-        text's first piece (the number of pieces last)."""
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        joined, starts, firsts = piece_starts(texts)
+        raw, at = joined.encode(), starts
+        if len(raw) > len(joined):
+            codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            before = np.zeros(len(codes) + 1, np.int64)
+            np.cumsum(1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF), out=before[1:])
+            at = before[starts]
+        return starts, *self.table.find(raw, at, self.merges.merge), firsts
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece starts (in the texts joined, the total length last), how many ids each has, the ids of all, and
+        the index of each text's first piece (the number of pieces last)."""
         if not self._split or not any(x in t for x in self.special for t in texts):
-            joined, starts, firsts = piece_starts(texts)
-            s = starts.tolist()
-            return starts, self.cache.find([joined[i:j] for i, j in zip(s, s[1:])], self.merges.merge), firsts
+            return self._plain(texts)
         segments, owners = [], [0]
         for t in texts:
             segments += [x for x in self._split.split(t) if x]
             owners.append(len(segments))
-        marks = {i: np.array([self.special[x]], "<u4").tobytes() for i, x in enumerate(segments) if x in self.special}
-        joined, starts, firsts = piece_starts(segments)
-        s, f = starts.tolist(), firsts.tolist()
-        at, cut, first = [], [], [0]
-        for i, (a, b) in enumerate(zip(f, f[1:])):
-            at += s[a : a + 1] if i in marks else s[a:b]
-            cut += [marks[i]] if i in marks else [joined[x:y] for x, y in zip(s[a:b], s[a + 1 : b + 1])]
-            first.append(len(cut))
-        plain = iter(self.cache.find([x for x in cut if isinstance(x, str)], self.merges.merge))
-        return np.array([*at, len(joined)]), [x if isinstance(x, bytes) else next(plain) for x in cut], np.array(first)[owners]
+        marked = np.array([x in self.special for x in segments])
+        # special strings are left out of the joined text, and put in again as one piece each
+        starts, n, ids, firsts = self._plain(["" if m else x for x, m in zip(segments, marked)])
+        shift = np.cumsum([0] + [len(x) if m else 0 for x, m in zip(segments, marked)])
+        where = np.flatnonzero(marked)
+        of = np.repeat(np.arange(len(segments)), np.diff(firsts))
+        begin = np.insert(starts[:-1] + shift[of], firsts[where], starts[firsts[where]] + shift[where])
+        ids = np.insert(ids, np.concatenate([[0], np.cumsum(n)])[firsts[where]], [self.special[segments[i]] for i in where])
+        first = firsts + np.concatenate([[0], np.cumsum(marked)])
+        return np.append(begin, starts[-1] + shift[-1]), np.insert(n, firsts[where], 1), ids, first[owners]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
         out: list[bytes] = []
         for a, b in parts([len(t) for t in texts], STEP_CHARS):
-            _, found, firsts = self.pieces(texts[a:b])
-            f = firsts.tolist()
-            out += [b"".join(found[i:j]) for i, j in zip(f, f[1:])]
+            _, n, ids, firsts = self.pieces(texts[a:b])
+            flat, ends = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])[firsts]).tolist()
+            out += [flat[i:j] for i, j in zip(ends, ends[1:])]
         return out
 
 

@@ -3,8 +3,8 @@
 A text longer than CHUNK characters is encoded in overlapping chunks. Two neighbours are spliced at a boundary that is
 proven stable: a place in the overlap where both start a piece. The pre-tokeniser looks ahead but never back, so from such
 a place on both must go on alike, and what the left chunk has before it is final, as it lies further from that chunk's end
-than any lookahead or special string reaches. Where the overlap has no such place, as inside one enormous word, it is
-widened until there is one or the left chunk covers the right one.
+than any lookahead or special string reaches. Where the overlap has no such place, as inside one enormous word, the left
+chunk and the overlap are doubled until there is one or the text ends.
 
 Counts equal those of encoding the whole text at once; memory follows the chunk and not the text.
 """
@@ -28,38 +28,29 @@ LOOKAHEAD = 3
 
 def _bounds(enc: Encoder, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece boundaries of text[start:end] (both ends included), and the tokens before each."""
-    starts, ids, _ = enc.pieces([text[start:end]])
-    return starts + start, np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
+    starts, n, _, _ = enc.pieces([text[start:end]])
+    return starts + start, np.concatenate([[0], np.cumsum(n)])
 
 
 def count_spliced(enc: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of one text, by chunks."""
+    """Tokens of one text, by chunks. Where two chunks have no common boundary the left one and the overlap double, so that
+    the work stays in proportion to the text, whatever it holds."""
     n, margin = len(text), enc.longest_special + LOOKAHEAD
-    if n <= chunk + overlap:
-        return len(enc.encode_batch([text])[0]) // 4
     total, stable = 0, 0  # tokens before ``stable``, a piece boundary of the whole text
-    edge = min(n, chunk + overlap)
-    left, counts = _bounds(enc, text, 0, edge)
-    begin = chunk
-    while edge < n:
-        end = min(n, begin + chunk + overlap)
-        right, right_counts = _bounds(enc, text, begin, end)
-        wider = overlap
-        while True:
-            sure = left[(left >= max(begin, stable)) & (left <= edge - margin)] if edge < n else left[left >= max(begin, stable)]
-            common = np.intersect1d(sure, right)
-            if len(common) or edge >= end:
-                break
-            wider *= 2
-            edge = min(end, begin + wider)
-            left, counts = _bounds(enc, text, stable, edge)
+    left, counts = _bounds(enc, text, 0, min(n, chunk + overlap))
+    size, wide = chunk + overlap, overlap
+    while (edge := int(left[-1])) < n:
+        begin = max(edge - wide, stable)
+        right, right_counts = _bounds(enc, text, begin, min(n, begin + wide + chunk))
+        common = np.intersect1d(left[(left >= begin) & (left > stable) & (left <= edge - margin)], right)
         if len(common):
             at = int(common[0])
             total += int(counts[np.searchsorted(left, at)] - counts[np.searchsorted(left, stable)])
-            stable, left, counts, edge = at, right, right_counts, end
-        begin += chunk
-        if begin >= edge and edge < n:  # the left chunk has outgrown its neighbour: go on from its last sure boundary
-            begin = edge - overlap if edge - overlap > stable else edge
+            stable, left, counts = at, right, right_counts
+            size, wide = chunk + overlap, overlap
+        else:
+            size, wide = 2 * size, 2 * wide
+            left, counts = _bounds(enc, text, stable, min(n, stable + size))
     return total + int(counts[-1] - counts[np.searchsorted(left, stable)])
 
 

@@ -124,3 +124,23 @@ def test_packing(spark, library):
 def test_the_fullest_bin_closes_first():
     p = packing.BestFit(10, 2)
     assert [p.place(n) for n in (6, 7, 8, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
+
+
+def test_counts_take_a_time_in_proportion_to_one_word(library):
+    import time
+
+    enc = bpe.json_encoder(JSON)
+    for text in ("ab" * 30_000, "中" * 70_000, " " * 100_000 + "x", "word " * 20_000 + "x" * 90_000 + " end"):
+        assert token_count.count_spliced(enc, text) == len(library[1].encode(text, add_special_tokens=False).ids)
+    begin = time.time()
+    for text in ("ab" * 2_000_000, "中文" * 700_000, " " * 4_000_000, "0123456789abcdef" * 250_000):
+        assert token_count.count_spliced(enc, text) > 0
+    assert time.time() - begin < 90
+
+
+def test_the_table_of_pieces_is_exact_when_it_is_full(library):
+    rnd, enc = random.Random(3), bpe.BytePairEncoder(RANKS)
+    enc.table.most = 500
+    for _ in range(20):
+        text = " ".join("".join(rnd.choice("abé\x00'") for _ in range(rnd.randint(1, 20))) for _ in range(300))
+        assert ids_of(enc.encode_batch([text])[0]) == library[0].encode_ordinary(text)
