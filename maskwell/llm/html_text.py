@@ -4,14 +4,14 @@ Each element of a page's tree has characters C, tags T, characters in links LC a
 is characters per tag, scaled by a logarithm of how few of them are links, whose base grows with the links' share in the
 element and in the whole body. The density sum of an element is the sum over its children; the subtree of the largest
 density sum is the article's core. The smallest density on its path up to the body is the threshold by which elements
-around the core count as part of the article; where the page itself marks an article or main element around the core, that
-element is taken whole. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+around the core count as part of the article, headings beside it do as well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 known by tag, role and class and never count or appear. A class, an id or a form tag is no proof: an element known by that
 only is kept if it holds the page's main element, its article, or, with no article elsewhere, most of the text outside links.
 
 White space inside a block becomes one blank, blocks are joined by one blank in page order, references are decoded; nothing
 else is dropped. A null, empty or textless page gives an empty text. Broken markup is read as browsers do in the common
-cases (tags left open, stray end tags, attributes without quotes); nesting of any depth is read without recursion.
+cases (tags left open, stray end tags, attributes without quotes); nesting of any depth is read without recursion and in a
+time that grows with the page.
 """
 
 from __future__ import annotations
@@ -71,6 +71,8 @@ class Page:
         self.doubtful = [0]  # 1: noise by a name or as a form, unless it holds the text; 2: comments
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) at its start, (~element, None) at its end
         self.start, self.end = [0], [0]
+        # of the open elements: how many of each scope, and of each other name in each scope
+        self.scopes, self.names, self.last_block = Counter(), [Counter()], [0]
         self._read(source)
         if any(self.doubtful):
             self._settle()
@@ -122,7 +124,7 @@ class Page:
                 self._end_tag(stack, name)
                 continue
             while len(stack) > 1 and self._ends(stack, name):
-                self._close(stack.pop())
+                self._pop(stack)
             attributes = source[m.end() : stop - 1]
             kind = self._is_noise(name, attributes, self.within[stack[-1]])
             node = self._open(name, stack[-1], self.noise[stack[-1]] or kind is True, 0 if kind is True else kind)
@@ -134,29 +136,51 @@ class Page:
                 at = finish + 1 if finish >= 0 else n
                 self._close(node)
             else:
-                stack.append(node)
-        while stack:
-            self._close(stack.pop())
+                self._push(stack, node)
+        while len(stack) > 1:
+            self._pop(stack)
+        self._close(0)
+
+    def _push(self, stack: list[int], node: int) -> None:
+        tag = self.tag[node]
+        if tag in _SCOPE:
+            self.scopes[tag] += 1
+            self.names.append(Counter())
+        else:
+            self.names[-1][tag] += 1
+        # the place in the stack of the last element that is not inline
+        self.last_block.append(len(stack) if tag in _BLOCK or tag in _SCOPE else self.last_block[-1])
+        stack.append(node)
+
+    def _pop(self, stack: list[int]) -> None:
+        node = stack.pop()
+        self.last_block.pop()
+        tag = self.tag[node]
+        if tag in _SCOPE:
+            self.scopes[tag] -= 1
+            self.names.pop()
+        else:
+            self.names[-1][tag] -= 1
+        self._close(node)
 
     def _ends(self, stack: list[int], name: str) -> bool:
         """Whether the start tag ends the innermost open element, or one around it within the scope."""
-        for x in reversed(stack):
-            tag = self.tag[x]
+        at = self.last_block[-1]
+        while at:
+            tag = self.tag[stack[at]]
             if name in _CLOSED_BY.get(tag, ()):
                 return True
-            if tag in _BLOCK and tag != "p" or tag in _SCOPE or not tag:
+            if tag != "p":
                 return False
+            at = self.last_block[at - 1]
         return False
 
     def _end_tag(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag == name:
-                while len(stack) > i:
-                    self._close(stack.pop())
-                return
-            if tag in _SCOPE and name not in _SCOPE:
-                return
+        """Ends the innermost element of the name, if there is one within the scope, with all in it."""
+        if self.scopes[name] if name in _SCOPE else self.names[-1][name]:
+            while self.tag[stack[-1]] != name:
+                self._pop(stack)
+            self._pop(stack)
 
     def _settle(self) -> None:
         """Decides on the doubtful elements by what they hold, and hands noise down."""
@@ -277,18 +301,12 @@ def _choose(page: Page) -> list[int]:
     path = [core]
     while path[-1] != body and page.parent[path[-1]] >= 0:
         path.append(page.parent[path[-1]])
-    marked = [i for i in path if page.tag[i] in ("article", "main")]
-    if marked:
-        return [marked[-1]]
-    marked = [i for i in inside if page.tag[i] in ("article", "main") and chars[i]]
-    if len(marked) == 1 and 2 * chars[marked[0]] > chars[body]:
-        return marked
+    # up the path while siblings there belong to the article: those as dense as the path, and headings
     threshold = min(density[i] for i in path)
-    dense = Counter(page.parent[i] for i in inside if chars[i] and density[i] >= threshold)
-    while page.parent[core] >= 0 and core != body:  # siblings as dense as the path belong to the article
-        if dense[page.parent[core]] - (density[core] >= threshold) < 1:
-            break
-        core = page.parent[core]
+    beside = Counter(page.parent[i] for i in inside if chars[i] and (density[i] >= threshold or page.tag[i] in _HEADINGS))
+    for node, parent in zip(path, path[1:]):
+        if beside[parent] > (density[node] >= threshold or page.tag[node] in _HEADINGS):
+            core = parent
     return [core]
 
 

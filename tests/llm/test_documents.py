@@ -445,6 +445,28 @@ def test_short_and_unspaced_lines(spark):
     assert {r.doc_id: r._n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
 
 
+def test_the_same_texts_without_article_tags():
+    import re
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist():
+        own = re.search(r"<article[^>]*>(.*)</article>", page or "", re.S)
+        if own:
+            whole = html_text.main_text(page)
+            assert whole and html_text.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page)) == whole
+
+
+def test_broken_markup_of_any_depth_takes_a_time_in_proportion():
+    import time
+
+    n = 200_000
+    begin = time.time()
+    for source in ("<b>" * n + "x", "<div>" * n + "</span>" * n, "<b><table>" + "<i>" * n + "</b>" * n, "<p><i>" * n, "<ul><li>" * n + "</p>" * n, "<!--" * n, "<a '" * n, "<script>" * n):
+        html_text.main_text("<body><p>Some words of a text.</p>" + source)
+    assert time.time() - begin < 60
+
+
 def test_names_are_noise_only_where_the_text_is_elsewhere():
     body = "Long words of the article itself, more than anything else has here."
     for source in (
