@@ -42,6 +42,13 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a cut that no plan reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffles of plans that nobody holds any more; without a collection on the driver they stay on
     the executors' disks for half an hour."""
