@@ -19,6 +19,11 @@ _NEW_ZEROS = (0x10D40, 0x116D0, 0x116DA, 0x11BF0, 0x11DE0, 0x16130, 0x16D70, 0x1
 _NEW_DIGITS = {z + i: str(i) for z in _NEW_ZEROS for i in range(10)}
 
 
+#: Characters that are themselves under NFKC, no digits, and never part of a larger cluster, but for CR LF.
+SIMPLE = "\\x00-\\x7f\u00a1\u00a7\u00a9\u00ab\u00ae\u00b0\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201e\u20ac"
+_ALL_SIMPLE = regex.compile(f"[{SIMPLE}]*+")
+
+
 def ascii_digits(text: str) -> str:
     """Every decimal digit of any script as its ASCII digit."""
     if text.isascii():
@@ -50,6 +55,8 @@ def normalise(source: str) -> Normalised:
     if source.isascii():  # nothing to fold; only CR LF is a cluster of two
         if "\r\n" not in source and not _INVISIBLE.search(source):
             return Normalised(source, None, None, len(source))
+    elif "\r\n" not in source and _ALL_SIMPLE.fullmatch(source):
+        return Normalised(source, None, None, len(source))
     hidden = [m.span() for m in _INVISIBLE.finditer(source)]
     places = list(range(len(source)))
     for a, b in reversed(hidden):

@@ -205,16 +205,26 @@ _PASSPORT = regex.compile(_FREE[0] + "[A-Za-z][0-9]{7}" + _FREE[1])
 PAN_HOLDERS = frozenset("PCHFATBLJG")
 
 
-def codes(text: str, bank_codes: frozenset[str] = BANK_CODES) -> Iterator[Span]:
-    """PAN, IFSC, voter and passport numbers."""
-    for m in _PAN.finditer(text):
-        yield Span("PAN", *m.span(), m[1].upper() in PAN_HOLDERS)
-    for m in _IFSC.finditer(text):
-        yield Span("IFSC", *m.span(), m[1].upper() in bank_codes)
-    for m in _VOTER.finditer(text):
-        yield Span("VOTER", *m.span())
-    for m in _PASSPORT.finditer(text):
-        yield Span("PASSPORT", *m.span())
+_ALNUM_BEFORE, _ALNUM_AFTER = regex.compile("(?r)[A-Za-z0-9]*+"), regex.compile("[A-Za-z0-9]*+")
+
+
+def codes(text: str, n: Numbers, bank_codes: frozenset[str] = BANK_CODES) -> Iterator[Span]:
+    """PAN, IFSC, voter and passport numbers. All hold digits, so only words around digits are looked at."""
+    end = 0
+    for a, b in n.groups:
+        if a < end:
+            continue
+        a, end = _ALNUM_BEFORE.match(text, 0, a).start(), _ALNUM_AFTER.match(text, b).end()
+        if not 8 <= end - a <= 11:
+            continue
+        if m := _PAN.match(text, a):
+            yield Span("PAN", *m.span(), m[1].upper() in PAN_HOLDERS)
+        elif m := _IFSC.match(text, a):
+            yield Span("IFSC", *m.span(), m[1].upper() in bank_codes)
+        elif m := _VOTER.match(text, a):
+            yield Span("VOTER", *m.span())
+        elif m := _PASSPORT.match(text, a):
+            yield Span("PASSPORT", *m.span())
 
 
 #: Names of months.
@@ -246,7 +256,10 @@ def birth_dates(text: str) -> Iterator[Span]:
                 yield Span("DOB", *m.span())
 
 
-_ADDRESS_RUN = regex.compile("[0-9A-Fa-f:.]+")
+#: With a colon, or a digit before a dot.
+_ADDRESS_RUN = regex.compile(r"(?<![0-9A-Fa-f:.])(?=[0-9A-Fa-f.]*+:|[A-Fa-f.]*+[0-9][0-9A-Fa-f]*+\.)[0-9A-Fa-f:.]++")
+_WORD_BEFORE = regex.compile(rf"[{_WORD}_]")
+_WIDE_GROUP = regex.compile("[0-9A-Fa-f]{3}")
 _VERSION = regex.compile(
     r"(?<![\p{L}\p{N}\p{M}_])(?:" + "|".join(normalise(w).text for w in "version ver v build release firmware fw rev revision संस्करण वर्जन वर्ज़न".split()) + r")\.?[ \t]{0,3}[:=#]?[ \t]{0,3}$", regex.I
 )
@@ -299,7 +312,7 @@ def addresses(text: str) -> Iterator[Span]:
     for m in _ADDRESS_RUN.finditer(text):
         run, base = m[0], m.start()
         a, b = 0, len(run)
-        if base and regex.match(rf"[{_WORD}_]", text[base - 1]):
+        if base and _WORD_BEFORE.match(text[base - 1]):
             a = run.find(":") + 1
             if not a:
                 continue
@@ -321,7 +334,7 @@ def addresses(text: str) -> Iterator[Span]:
             if number is not None:
                 inner = _embedded(number)
                 nobody = _nobody4(inner) if inner else number >> 120 == 0xFF
-                wide = "." in value or bool(regex.search("[0-9A-Fa-f]{3}", value))
+                wide = "." in value or bool(_WIDE_GROUP.search(value))
                 yield Span("IP", base + a, base + b, nobody or wide, keep=nobody)
                 continue
         at = base + a
@@ -447,7 +460,14 @@ def _phone_free(text: str, a: int, b: int) -> bool:
 
 def phones(text: str, n: Numbers) -> Iterator[Span]:
     """Numbers on one line, mobiles of 5 + 5 digits inside longer runs, and numbers across a line break."""
-    found = []
+    found, digits, last = [], 0, -9
+    for a, b in n.groups:  # a number has seven digits with six characters between two of them at most
+        digits = (digits if a - last <= 6 else 0) + b - a
+        if digits >= 7:
+            break
+        last = b
+    else:
+        return
     searched = _MARKER.sub(lambda m: "\n" * len(m[0]), text)
     for m in _PHONE.finditer(searched):
         a, b = m.span()
@@ -476,15 +496,22 @@ def phones(text: str, n: Numbers) -> Iterator[Span]:
             yield Span("PHONE", a, w.end)
 
 
-_KEYWORD = {
-    kind: regex.compile(rf"(?<![{_WORD}])(?:" + "|".join(regex.escape(normalise(w).text).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True)) + rf")(?![{_WORD}])", regex.I) for kind, words in KEYWORDS.items()
-}
+def _phrase(words: list[str]) -> regex.Pattern:
+    """Any of the keywords as whole words, in any case and with any white space inside."""
+    spelt = (r"\s+".join(map(regex.escape, normalise(w).text.split(" "))) for w in words)
+    return regex.compile(rf"(?<![{_WORD}])(?:{'|'.join(sorted(spelt, key=len, reverse=True))})(?![{_WORD}])", regex.I)
+
+
+_PHRASES = {kind: _phrase(list(words)) for kind, words in KEYWORDS.items()}
 
 
 def has_context(text: str, span: Span) -> bool:
-    """A whole keyword of the type within CONTEXT characters before or after the span."""
-    pattern = _KEYWORD.get(span.type)
-    if pattern is None:
+    """A whole keyword of the type within CONTEXT characters before or after the span. What follows the stretch decides
+    whether a keyword at its end is whole, so the search sees a little more than the keyword may cover."""
+    if span.type not in _PHRASES:
         return False
-    sides = ((max(0, span.start - CONTEXT), span.start), (span.end, min(len(text), span.end + CONTEXT)))
-    return any(m.end() <= b for a, b in sides for m in pattern.finditer(text, a, min(len(text), b + 2)) if m.start() >= a and m.end() <= b)
+    for a, b in ((span.start - CONTEXT, span.start), (span.end, span.end + CONTEXT)):
+        a, b = max(a, 0), min(b, len(text))
+        if any(m.end() <= b for m in _PHRASES[span.type].finditer(text, a, min(b + 2, len(text)))):
+            return True
+    return False

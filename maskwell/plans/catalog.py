@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.register import register
 from ..operators import evaluation, redact
 from ..sources.tables import table
+from ..sources.written import spread
 from . import native
 
 FLAGSHIP = "detections_by_type"
@@ -17,35 +18,49 @@ FLAGSHIP = "detections_by_type"
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detection in the documents: type, place, proof and context."""
-    found = redact.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    found = redact.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
     return found.select("doc_id", F.inline("detections"))
 
 
 def detections_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections by language and type."""
-    found = redact.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep=["doc_id", "lang"])
+    found = redact.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), keep=["doc_id", "lang"])
     d = found.select("doc_id", "lang", F.inline("detections"))
     return d.groupBy("lang", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if("validated").alias("n_validated"), F.count_if("context").alias("n_context"), F.countDistinct("doc_id").alias("docs"))
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, each message with one of three addresses of its conversation at its end; PLANTED says it in SQL."""
+    own = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    address = F.concat(F.lit(" write to u"), F.col("conv_id"), F.lit("n"), F.pmod("turn", F.lit(3)), F.lit("@example.org now"))
+    return own.withColumn("text", F.concat(F.coalesce("text", F.lit("")), address))
+
+
+#: The same messages, the address of each, and its number by first appearance.
+PLANTED = """
+WITH own AS (
+  SELECT conv_id, turn, role, coalesce(text, '') || ' write to ' AS head, 'u' || conv_id || 'n' || (turn % 3) || '@example.org' AS value
+  FROM conversations),
+first AS (SELECT conv_id, value, min(turn) AS at FROM own GROUP BY conv_id, value),
+numbered AS (SELECT conv_id, value, row_number() OVER (PARTITION BY conv_id ORDER BY at) AS idx FROM first)
+"""
+
+
 def redacted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations with placeholders for their values."""
-    return redact.redact_conversations(table(spark, sf_dir, "conversations"))[0]
+    """The conversations, with planted addresses, with placeholders for their values."""
+    return redact.redact_conversations(_planted(spark, sf_dir))[0]
 
 
 def conversation_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which placeholder stands for which value."""
-    return redact.redact_conversations(table(spark, sf_dir, "conversations"))[1]
+    """Which placeholder stands for which value, in the conversations with planted addresses."""
+    return redact.redact_conversations(_planted(spark, sf_dir))[1]
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations redacted and restored again: messages, those that come back as they were, and placeholders restored."""
-    own = table(spark, sf_dir, "conversations")
-    hidden, mapping = redact.redact_conversations(own)
-    whole = lambda df: df.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    back = redact.restore_answers(whole(hidden), mapping, everywhere=True)
-    both = back.select("conv_id", F.col("text").alias("back"), "restored").join(whole(own), "conv_id")
-    return both.agg(F.count(F.lit(1)).alias("conversations"), F.count_if(F.col("back") == F.col("text")).alias("exact"), F.sum("restored").alias("restored"))
+    """Every message with a planted address redacted and restored again, and how many placeholders were."""
+    hidden, mapping = redact.redact_conversations(_planted(spark, sf_dir))
+    back = redact.restore_answers(hidden, mapping, everywhere=True)
+    return back.select("conv_id", "text", F.col("restored").cast("long").alias("restored"))
 
 
 def generated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(native.SQL)
+    return native.SQL | {
+        "redacted_conversations": PLANTED + "SELECT o.conv_id, o.turn, o.role, o.head || '[EMAIL_' || n.idx || '] now' AS text FROM own o JOIN numbered n USING (conv_id, value)",
+        "conversation_mapping": PLANTED + "SELECT conv_id, 'EMAIL' AS namespace, idx::INTEGER AS idx, value AS key, value, false AS exact_only FROM numbered",
+        "round_trip": PLANTED + "SELECT conv_id, head || value || ' now' AS text, 1::BIGINT AS restored FROM own",
+    }

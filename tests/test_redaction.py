@@ -78,6 +78,64 @@ def test_conversations_over_dataframes(spark):
     assert redact.redact_conversations(df.limit(0))[0].count() == 0
 
 
+def test_no_row_passes_whatever_its_ids_are(spark):
+    rows = [
+        (1, None, "user", "mail bob@example.com now"), (None, 1, "user", "mail amy@example.com now"), (None, None, None, "amy@example.com, bob@example.com"),
+        (2, 0, "user", "mail first@example.com here"), (2, 0, "user", "short second@example.com ok"), (2, 0, "user", "short second@example.com ok"),
+    ]
+    out, mapped = redact.redact_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = [(r.conv_id, r.turn, r.text) for r in out.collect()]
+    assert len(got) == len(rows) and not any("@" in t for _, _, t in got)
+    assert (1, None, "mail [EMAIL_1] now") in got and (None, None, "[EMAIL_1], [EMAIL_2]") in got and (None, 1, "mail [EMAIL_1] now") in got
+    pair = sorted(t for c, _, t in got if c == 2)
+    assert pair in ([f"mail [EMAIL_{i}] here"] + [f"short [EMAIL_{3 - i}] ok"] * 2 for i in (1, 2))
+    back = redact.restore_answers(out, mapped, everywhere=True)
+    assert sorted((r.conv_id or 0, r.text) for r in back.collect()) == sorted((c or 0, t) for c, _, _, t in rows)
+
+
+def test_detectors_and_names_reach_the_tasks(spark):
+    from maskwell.operators import resolve
+    from maskwell.operators.candidates import Span
+
+    df = spark.createDataFrame([(1, "ticket TKTABC for Dr Priya Sharma"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    names = frozenset(("priya", "sharma"))
+    resolve.register_detector("tickets", lambda text, numbers: [Span("PAN", i, i + 6, True) for i in [text.find("TKTABC")] if i >= 0])
+    try:
+        rows = {r.doc_id: [(d.type, d.start, d.end) for d in r.detections] for r in redact.detect(df, names=names).collect()}
+        out, _ = redact.redact_conversations(df.selectExpr("doc_id conv_id", "0L turn", "'user' role", "text"), names)
+        texts = {r.conv_id: r.text for r in out.collect()}
+    finally:
+        resolve.EXTRA.clear()
+    assert rows == {1: [("PAN", 7, 13), ("PERSON", 21, 33)], 2: [], 3: []}
+    assert texts == {1: "ticket [PAN_1] for Dr [PERSON_1]", 2: "nothing", 3: None}
+
+
+def test_unsafe_places_do_not_depend_on_the_pieces():
+    from random import Random as R
+
+    from maskwell.operators.unsafe import Scanner
+
+    rnd = R(4)
+    parts = ["[", "]", "(", ")", "<", ">", "\\", ":", "=", '"', "'", " ", "\n", "a", "b.", "c.com", "/", "://", "http", "mailto:", "-", "_", "](", "]:", "[PAN_1]", "é"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        whole, cut = Scanner(), Scanner()
+        whole.feed(text)
+        at = sorted(rnd.choices(range(len(text) + 1), k=3))
+        for a, b in zip([0, *at], [*at, len(text)]):
+            cut.feed(text[a:b])
+        assert [whole.at(i, i + 1) for i in range(len(text))] == [cut.at(i, i + 1) for i in range(len(text))], (text, at)
+
+
+def test_many_links_take_a_time_in_proportion():
+    import time
+
+    text = "".join(f"[l{i}](http://h.example/{i}) and [EMAIL_1] " for i in range(16_000))
+    begin = time.time()
+    out, counts = restore(text, lambda n, i: ("a@example.com", False))
+    assert counts["restored"] == 16_000 and time.time() - begin < 10
+
+
 def test_detection_of_a_frame_runs_one_python_stage(spark):
     df = spark.createDataFrame([(1, "a@example.com", "x"), (2, None, "y")], "doc_id long, text string, detections_ string")
     out = redact.detect(df)
