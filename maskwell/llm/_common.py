@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import partial
 
 import pyarrow as pa
@@ -18,15 +19,19 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares; a temporary one only where none is set and everything runs on this machine, as
+    in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="maskwell-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: The scopes of this thread's calls: each thread deletes its own cuts only.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("_scopes", default=())
 
 
 def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -35,8 +40,8 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskwell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -62,7 +67,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     on the others any more."""
     own: list[str] = []
     kept: list[str] = []
-    _scopes.append(own)
+    token = _scopes.set((*_scopes.get(), own))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df._cut_path)
@@ -71,13 +76,13 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
         for path in own:
             if path not in kept:
                 p = spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        if _scopes:
-            _scopes[-1].extend(kept)
+        if _scopes.get():
+            _scopes.get()[-1].extend(kept)
 
 
 def narrow_batches(spark: SparkSession) -> None:

@@ -2,7 +2,9 @@
 
 Every rule is a Boolean expression over a document. Their costs and selectivities are estimated on a bounded sample and
 the rules are ordered by rejections per second; the cascade is one CASE expression, so a rule runs only for rows that all
-rules before it let pass. The order changes the cost and never the verdict.
+rules before it let pass. A filter computes nothing but what its rules ask for until one rejects. A report has five metrics
+for every row, whatever the verdict; there the cascade skips what its rules compute beyond these (capitals, numbers of
+lines). The order changes the cost and never the verdict.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows on which costs and selectivities are estimated.
-SAMPLE_ROWS = 1000
+from ._common import cut, scratch
+
+#: Rows on which costs and selectivities are estimated, at most, and the share of the rows by hash that they are picked from.
+SAMPLE_ROWS, SAMPLE_SHARE = 1000, 4
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -52,18 +56,28 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+#: Each metric straight from a text.
+_DIRECT: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda t: F.size(words(t)),
+    "word_chars": lambda t: F.char_length(F.regexp_replace(t, _BLANK, "")),
+    "n_symbols": lambda t: F.regexp_count(t, F.lit(r"[#*$%&|<>]")),
+    "n_lines": lambda t: F.size(lines(t)),
+    "n_dup_lines": lambda t: bind(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    "n_upper": lambda t: F.char_length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
+    "n_repeat_words": lambda t: bind(words(t), repeat_words),
+}
+
+#: What a report computes for every row; other metrics are computed where a rule asks for them.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_upper (null text: none)."""
+    """Adds the REPORTED metrics, as _m (null text: none)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     of_words = bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
-    of_lines = bind(lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    out = df.withColumns({
-        "_w": of_words,
-        "_l": of_lines,
-        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_upper": F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
-    })
-    return out.select("*", "_w.*", "_l.*").drop("_w", "_l")
+    out = df.withColumns({"_w": of_words, "_l": _DIRECT["n_dup_lines"](text).cast("long"), "_s": _DIRECT["n_symbols"](text).cast("long")})
+    fields = {"n_words": "_w.n_words", "word_chars": "_w.word_chars", "n_symbols": "_s", "n_dup_lines": "_l", "n_repeat_words": "_w.n_repeat_words"}
+    return out.withColumn("_m", F.struct(*(F.col(fields[m]).alias(m) for m in REPORTED))).drop("_w", "_l", "_s")
 
 
 Metrics = Callable[[str], Column]
@@ -89,34 +103,32 @@ RULES = (
     Rule("capitals", ("word_chars", "n_upper"), lambda m: 100 * m("n_upper") > 60 * m("word_chars"), "100 * n_upper > 60 * word_chars"),
 )
 
-#: Each metric straight from a text.
-_DIRECT: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda t: F.size(words(t)),
-    "word_chars": lambda t: F.char_length(F.regexp_replace(t, _BLANK, "")),
-    "n_symbols": lambda t: F.regexp_count(t, F.lit(r"[#*$%&|<>]")),
-    "n_lines": lambda t: F.size(lines(t)),
-    "n_dup_lines": lambda t: bind(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
-    "n_upper": lambda t: F.char_length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
-    "n_repeat_words": lambda t: bind(words(t), repeat_words),
-}
-
-
 def _on_text(rule: Rule, text: Column) -> Column:
     """The rule as one expression over the text: only the metrics that it uses are computed, each once."""
     fields = F.struct(*(_DIRECT[m](text).cast("long").alias(m) for m in rule.uses))
     return bind(fields, lambda m: rule.rejects(lambda name: m[name]))
 
 
-def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+def _on_metrics(rule: Rule, text: Column) -> Column:
+    """The rule where the REPORTED metrics are there already: only what else it uses is computed, inside the expression."""
+    return rule.rejects(lambda name: F.col(f"_m.{name}") if name in REPORTED else _DIRECT[name](text).cast("long"))
+
+
+def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", rows: int = SAMPLE_ROWS, reported: bool = False) -> list[tuple[Rule, float, float]]:
     """The rules by falling rejections per second, with the seconds and the share of rejections measured on at most
-    ``rows`` rows. Ties keep the given order; an empty table leaves it as it is."""
-    sample = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).limit(rows)
-    measured = []
-    for rule in (None, *rules):
-        began = time.perf_counter()
-        hit = F.lit(False) if rule is None else _on_text(rule, F.col("text"))
-        n, bad = sample.agg(F.count(F.lit(1)), F.count_if(hit)).first()
-        measured.append((time.perf_counter() - began, bad / n if n else 0.0))
+    ``rows`` rows, which are picked by a hash of the text and written once. ``reported``: the REPORTED metrics are there
+    already. Ties keep the given order; an empty table leaves it as it is."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    with scratch(df.sparkSession):
+        picked = df.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0).limit(rows)
+        sample = cut(metrics(picked) if reported else picked, "sample")
+        on = _on_metrics if reported else _on_text
+        measured = []
+        for rule in (None, *rules):
+            hit = F.lit(False) if rule is None else on(rule, F.col("text"))
+            began = time.perf_counter()
+            n, bad = sample.agg(F.count(F.lit(1)), F.count_if(hit)).first()
+            measured.append((time.perf_counter() - began, bad / n if n else 0.0))
     floor = min(s for s, _ in measured)
     costs = [max(s - floor, 1e-3) for s, _ in measured[1:]]
     found = [(r, c, share) for r, c, (_, share) in zip(rules, costs, measured[1:])]
@@ -146,11 +158,12 @@ def quality_report(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     no rule of the cascade rejects. A null text has no words and fails; repeated rows and null ids stay; other columns are
     not read.
     """
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = [r for r, _, _ in order_rules(own, rules)]
-    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    verdict = cascade([r for r in order if r.name not in ("few_words", "repeats")], lambda r: r.rejects(F.col))
-    return metrics(own).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.when(base, F.lit(False)).otherwise(verdict.isNull()).alias("kept"))
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    order = [r for r, _, _ in order_rules(own, rules, reported=True)]
+    base = F.expr("_m.n_words < 50 OR 100 * _m.n_repeat_words > 50 * _m.n_words")
+    verdict = cascade(order, lambda r: _on_metrics(r, F.col("text")))
+    kept = F.when(base, F.lit(False)).otherwise(verdict.isNull())
+    return metrics(own).select("doc_id", "_m.*", base.alias("base_failed"), kept.alias("kept"))
 
 
 ORACLE_SQL = f"""
