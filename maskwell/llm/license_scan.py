@@ -1,18 +1,18 @@
-"""License scans by rare anchor words and positions, in DataFrame functions only.
-
-Each template has its words with their positions; there is no index over the documents, and each text is scanned once for
-each template. One pass counts, over all documents, how many hold each licence
-word; in each template's mandatory key phrase the word of highest inverse document frequency becomes its anchor. A scan
-looks up the anchors in a document; each occurrence fixes where the template would start, and the template's postings are
-intersected by relative position: the share of its words that stand where they should. A match needs that share and its
-mandatory key phrase word for word, so the choice of anchor moves cost and never a result.
+"""License scans by a positional rare-token index, in DataFrame functions only.
+
+The index holds the postings (template, position) of each template's rare word: one pass counts, over all documents, how many
+hold each word of the templates' mandatory key phrases, and the word of highest inverse document frequency is the one a
+template is found by. A template only matches where its whole key phrase stands, so a file that can match holds that word,
+whatever else it holds. Each file's words are looked up once, all templates together; the postings of a hit give the place
+where each of its templates would start; the key phrase is verified there word for word, and the rest of the template by the
+share of its words that stand where they should. The choice of rare words moves cost and never a result. Whole licence texts
+and single sentences are templates alike, and so are the base phrases, which are nothing but a key phrase.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +55,37 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    # whole texts
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "and the author disclaims all warranties with regard to this software",
+    ),
+    Template(
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice",
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "permission is granted to anyone to use this software for any purpose including commercial applications",
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "anyone is free to copy modify publish use compile sell or distribute this software",
+    ),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "you may not use this file except in compliance with the license",
+    ),
 )
 #: Share of a template's words that must stand in place.
 COVERAGE = 0.7
@@ -87,22 +118,32 @@ def anchors(n: int, frequency: dict[str, int], templates: tuple[Template, ...] =
     return out
 
 
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def _index(templates: list[Template], anchor: list[tuple[str, int]]) -> tuple[Column, Column]:
+    """The postings of each rare word, and the templates as a table: both are constants of the plan."""
+    postings: dict[str, list[Column]] = {}
+    for n, (word, at) in enumerate(anchor):
+        postings.setdefault(word, []).append(F.struct(F.lit(n).alias("t"), F.lit(at).alias("p")))
+    rows = [F.struct(F.array(*map(F.lit, t.text.split())).alias("words"), F.array(*map(F.lit, t.key.split())).alias("key"), F.lit(t.key_at).alias("key_at")) for t in templates]
+    return F.create_map(*(x for w, ps in postings.items() for x in (F.lit(w), F.array(*ps)))), F.array(*rows)
 
 
-def _matches(w: Column, template: Template, anchor: tuple[str, int]) -> Column:
-    """Shares of the template's words in place, one for each verified place; empty if none."""
-    own, key, at = template.text.split(), template.key.split(), template.key_at
+def _verified(w: Column, rare: list[str], postings: Column, table: Column) -> Column:
+    """(t, start, share) of every place in the words ``w`` where the key phrase of template t stands."""
+    # sequence() needs a word
+    hits = F.coalesce(F.filter(F.sequence(F.lit(0), F.when(F.size(w) > 0, F.size(w) - 1)), lambda i: F.get(w, i).isin(rare)), F.array().cast("array<int>"))
+    places = F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(postings, F.get(w, i)), lambda q: F.struct(q["t"].alias("t"), (i - q["p"]).alias("start")))))
 
-    def share(i: Column) -> Column:
-        start = i - anchor[1]
-        verified = _all([F.coalesce(F.get(w, start + at + k) == x, F.lit(False)) for k, x in enumerate(key)])
-        inside = reduce(lambda a, b: a + b, [F.when(F.get(w, start + k) == x, 1).otherwise(0) for k, x in enumerate(own)])
-        return F.when(verified, inside / F.lit(float(len(own))))
+    def stands(c: Column) -> Column:
+        own = F.get(table, c["t"])
+        at = c["start"] + own["key_at"]
+        return F.when(at >= 0, F.slice(w, F.greatest(at + 1, F.lit(1)), F.size(own["key"])) == own["key"]).otherwise(False)
 
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i) == anchor[0])
-    return F.filter(F.transform(places, share), lambda s: s >= COVERAGE)
+    def share(c: Column) -> Column:
+        own = F.get(table, c["t"])["words"]
+        inside = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda k: F.coalesce(F.get(w, c["start"] + k) == F.get(own, k), F.lit(False)))
+        return F.struct(c["t"].alias("t"), c["start"].alias("start"), (F.size(inside) / F.size(own).cast("double")).alias("share"))
+
+    return F.transform(F.filter(places, stands), share)
 
 
 def license_scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,38 +155,29 @@ def license_scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_
     columns are not read; an empty table gives no rows.
     """
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chosen = anchors(*document_frequencies(own, templates), templates)
-
-    def phrase_places(w: Column, p: list[str]) -> Column:
-        here = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _all([F.coalesce(F.get(w, i + k) == x, F.lit(False)) for k, x in enumerate(p)]))
-        return F.coalesce(F.when(F.array_contains(w, p[-1]) & F.array_contains(w, p[0]), here), F.array().cast("array<int>"))
+    every = [*(Template(label, phrase, phrase) for phrase, label in BASE), *templates]
+    chosen = anchors(*document_frequencies(own, tuple(every)), tuple(every))
+    postings, table = _index(every, chosen)
+    rare = sorted({word for word, _ in chosen})
 
     def scan(w: Column) -> Column:
-        n = F.size(w)
-        some = F.when(n > 0, w)  # sequence() needs a word
-        starts = {label: phrase_places(w, phrase.split()) for phrase, label in BASE}
-        found = [
-            (t.label, F.coalesce(F.array_max(F.when(F.array_contains(some, a[0]), _matches(w, t, a))), F.lit(0.0)))
-            for t, a in zip(templates, chosen)
-        ]
-        return F.struct(
-            n.cast("long").alias("n_words"),
-            F.struct(*(s.alias(k) for k, s in starts.items())).alias("base"),
-            F.filter(F.array(*(F.struct(F.lit(k).alias("label"), s.alias("share")) for k, s in found)), lambda x: x["share"] > 0).alias("found"),
-        )
-
-    places = F.concat(*(F.col(f"s.base.{label}") for _, label in BASE))
-    base = F.filter(F.array(*(F.when(F.size(F.col(f"s.base.{label}")) > 0, F.lit(label)) for _, label in BASE)), lambda x: x.isNotNull())
-    labels = F.sort_array(F.array_distinct(F.concat(base, F.transform("s.found", lambda x: x["label"]))))
+        return F.struct(F.size(w).cast("long").alias("n_words"), _verified(w, rare, postings, table).alias("found"))
+
+    names = F.array(*(F.lit(t.label) for t in every))
+    is_base = lambda x: x["t"] < len(BASE)
+    base = F.filter("s.found", is_base)
+    places = F.transform(base, lambda x: x["start"])
+    found = F.filter("s.found", lambda x: is_base(x) | (x["share"] >= COVERAGE))
+    labels_of = lambda xs: F.array_join(F.sort_array(F.array_distinct(F.transform(xs, lambda x: F.get(names, x["t"])))), ",")
     return own.select("doc_id", bind(licence_words(F.col("text")), scan).alias("s")).select(
         "doc_id",
         F.col("s.n_words").alias("n_words"),
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
-        F.array_join(F.sort_array(base), ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"),
-        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("s.found", lambda x: x["share"])), F.lit(0.0))).alias("score"),
+        labels_of(base).alias("base_labels"),
+        labels_of(found).alias("labels"),
+        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(found, lambda x: x["share"])), F.lit(0.0))).alias("score"),
     )
 
 
@@ -158,7 +190,8 @@ def oracle_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
     base = ", ".join(f"list_filter(range(1, len(ws) + 1), lambda i: {here(p, 'i')}) AS b_{label}" for p, label in BASE)
     shares = []
     for n, t in enumerate(templates):
-        inside = " + ".join(f"(CASE WHEN i - {t.key_at} + {k} >= 1 AND ws[i - {t.key_at} + {k}] = '{x}' THEN 1 ELSE 0 END)" for k, x in enumerate(t.text.split()))
+        own = "[" + ", ".join(f"'{x}'" for x in t.text.split()) + "]"
+        inside = f"len(list_filter(range(0, {len(t.text.split())}), lambda k: i - {t.key_at} + k >= 1 AND coalesce(ws[i - {t.key_at} + k] = {own}[k + 1], false)))"
         shares.append(f"coalesce(list_max(list_filter(list_transform(list_filter(range(1, len(ws) + 1), lambda i: {here(t.key, 'i')}), lambda i: ({inside}) / {len(t.text.split())}.0::DOUBLE), lambda s: s >= {COVERAGE})), 0.0::DOUBLE) AS s{n}")
     labels = ", ".join([f"CASE WHEN len(b_{x}) > 0 THEN '{x}' END" for _, x in BASE] + [f"CASE WHEN s{n} > 0 THEN '{t.label}' END" for n, t in enumerate(templates)])
     only_base = ", ".join(f"CASE WHEN len(b_{x}) > 0 THEN '{x}' END" for _, x in BASE)

@@ -69,6 +69,19 @@ def test_license_scan_equals_sql(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+def test_whole_licence_texts_equal_sql(spark):
+    rnd = random.Random(31)
+    texts = []
+    for t in license_scan.TEMPLATES:
+        own = t.text.split()
+        texts += [t.text, t.key, f"{prose(30)} {t.text.upper()} {prose(10)} {t.text}", " ".join(own[: len(own) // 2]), " ".join(own[3:]), " ".join(w if rnd.random() < 0.9 else "x" for w in own), " - ".join(own)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = license_scan.license_scan(df)
+    same(out, license_scan.oracle_sql(), documents=df.toArrow())
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(t.label in got[7 * i].labels.split(",") and got[7 * i].score >= 0.7 for i, t in enumerate(license_scan.TEMPLATES))
+
+
 def test_native_plans_have_no_python(spark):
     df = edge_frame(spark)
     for out in (quality.quality_report(df), license_scan.license_scan(df)):
