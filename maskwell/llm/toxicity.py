@@ -23,6 +23,8 @@ from ._common import map_batches, text_frame, texts_of
 
 #: Labelled rows that the model is fitted on, at most: those of the smallest hash of their id.
 TRAIN_ROWS = 8000
+#: Characters of all texts that a model is fitted on, at most.
+TRAIN_CHARS = 40_000_000
 #: Plain English insults that the lexicon starts from.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "imbecile", "dumbass", "bastard", "asshole")
 #: Words that report what somebody said, and words that address somebody.
@@ -250,20 +252,37 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return Model(terms, stems, model.benign, tuple(beta.tolist()))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model of at most ``rows`` labelled documents whose crc32(doc_id as text) mod 5 is not 0.
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """A model of at most ``rows`` labelled documents whose crc32(doc_id as text) mod 5 is not 0, in an order by hash until
+    their texts come to ``chars`` characters: what is collected is bounded by both.
 
-    Null labels and ids are left out; of repeated labels the largest counts.
+    Null labels and ids are left out; of repeated labels the largest counts, of several texts of one id the shortest, then the first in
+    order;
+    null texts are empty.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     own = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()  # ids and labels only: bounded by ``rows``
     spark = documents.sparkSession
     picked = F.broadcast(spark.createDataFrame(chosen.to_pandas().rename(columns={"doc_id": "_id"}), "_id long, toxic int"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(picked, texts["doc_id"] == picked["_id"]).select("doc_id", "text", "toxic").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([(r["text"] or "", int(r["toxic"] > 0)) for r in found])
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = texts.join(picked, texts["doc_id"] == picked["_id"])
+    sizes = own.groupBy("doc_id").agg(F.min(F.char_length("text").cast("long")).alias("n"), F.count(F.lit(1)).alias("times")).toArrow().to_pylist()
+    order = {x: i for i, x in enumerate(chosen.column("doc_id").to_pylist())}
+    within, total = [], 0
+    for r in sorted(sizes, key=lambda r: order[r["doc_id"]]):
+        total += r["n"]
+        if within and total > chars:
+            break
+        within.append(r["doc_id"])
+    kept = F.broadcast(spark.createDataFrame([(x,) for x in within], "_kept long"))  # at most ``rows`` ids
+    found = own.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    if any(r["times"] > 1 for r in sizes):
+        # of several texts of one id the shortest, of these the first in order: a text's size is what was counted
+        found = found.groupBy("doc_id").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("x"), F.first("toxic").alias("toxic")).select("doc_id", "x.text", "toxic")
+    found = found.select("doc_id", "text", "toxic").toArrow().to_pylist()
+    found.sort(key=lambda r: r["doc_id"])
+    return fit([(r["text"], int(r["toxic"] > 0)) for r in found])
 
 
 def _scores(model: Model, batch: pa.RecordBatch):
@@ -287,7 +306,8 @@ def _clean(model: Model, text_col: str, limit: float, batch: pa.RecordBatch):
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows scored below ``limit``, all columns as they are."""
+    """The rows scored below ``limit``, all columns as they are, whatever they are called. A null text is scored as an empty
+    one; repeated rows are judged alike; an empty table gives no rows."""
     from pyspark.sql.types import StructType
 
     schema: StructType = df.schema
