@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.register import register
 from ..operators import evaluation, redact
 from ..sources.tables import table
-from ..sources.written import spread
+from ..sources.written import shared_folder, spread
+from ..streaming.restore_stream import restore_stream
 from . import native
 
 FLAGSHIP = "detections_by_type"
@@ -63,6 +65,25 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "text", F.col("restored").cast("long").alias("restored"))
 
 
+def restore_stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted conversations with planted addresses sent as streams, each message in two pieces, and restored piecewise."""
+    hidden, mapping = redact.redact_conversations(_planted(spark, sf_dir))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    numbered = hidden.withColumn("n", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    both = F.array(F.struct((2 * F.col("n") - 2).cast("long").alias("seq"), F.substring("text", F.lit(1), half).alias("text")), F.struct((2 * F.col("n") - 1).cast("long").alias("seq"), F.substring("text", half + 1, F.length("text")).alias("text")))
+    pieces = numbered.select(F.col("conv_id").cast("string").alias("stream_id"), F.lit("content").alias("kind"), "conv_id", "of", F.explode(both).alias("p"))
+    pieces = pieces.select("stream_id", "kind", "conv_id", "p.seq", "p.text", (F.col("p.seq") == 2 * F.col("of") - 1).alias("last"))
+    folder = f"{shared_folder(spark)}/maskwell/stream-{uuid.uuid4().hex}"
+    pieces.write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(pieces.schema).parquet(f"{folder}/in")
+    query = restore_stream(arriving, mapping, everywhere=True).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy("stream_id").agg(joined.alias("text"), F.count_if("done").alias("done"), F.count("error").alias("errors"))
+
+
 def generated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of detection over 500 generated cases, by type."""
     cases = evaluation.labelled_cases(spark, 500)
@@ -91,7 +112,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (detections_by_type, detections, redacted_conversations, conversation_mapping, round_trip, generated_score, generated_sent, generated_echo, sql_functions)}
+    own = {f.__name__: f for f in (detections_by_type, detections, redacted_conversations, conversation_mapping, round_trip, restore_stream_equals_batch, generated_score, generated_sent, generated_echo, sql_functions)}
     return own | native.QUERIES
 
 
@@ -99,5 +120,6 @@ def oracle_sql() -> dict[str, str]:
     return native.SQL | {
         "redacted_conversations": PLANTED + "SELECT o.conv_id, o.turn, o.role, o.head || '[EMAIL_' || n.idx || '] now' AS text FROM own o JOIN numbered n USING (conv_id, value)",
         "conversation_mapping": PLANTED + "SELECT conv_id, 'EMAIL' AS namespace, idx::INTEGER AS idx, value AS key, value, false AS exact_only FROM numbered",
+        "restore_stream_equals_batch": PLANTED + "SELECT conv_id::VARCHAR AS stream_id, string_agg(head || value || ' now', '' ORDER BY turn) AS text, 1::BIGINT AS done, 0::BIGINT AS errors FROM own GROUP BY conv_id",
         "round_trip": PLANTED + "SELECT conv_id, head || value || ' now' AS text, 1::BIGINT AS restored FROM own",
     }
