@@ -12,7 +12,7 @@ from ..functions.register import register
 from ..operators import evaluation, redact
 from ..sources.tables import table
 from ..sources.written import shared_folder, spread
-from ..streaming.restore_stream import restore_stream
+from ..streaming.restore_stream import restore_stream, run_available
 from . import native
 
 FLAGSHIP = "detections_by_type"
@@ -43,8 +43,8 @@ PLANTED = """
 WITH own AS (
   SELECT conv_id, turn, role, coalesce(text, '') || ' write to ' AS head, 'u' || conv_id || 'n' || (turn % 3) || '@example.org' AS value
   FROM conversations),
-first AS (SELECT conv_id, value, min(turn) AS at FROM own GROUP BY conv_id, value),
-numbered AS (SELECT conv_id, value, row_number() OVER (PARTITION BY conv_id ORDER BY at) AS idx FROM first)
+first AS (SELECT conv_id, value, min(turn) AS since FROM own GROUP BY conv_id, value),
+numbered AS (SELECT conv_id, value, row_number() OVER (PARTITION BY conv_id ORDER BY since) AS idx FROM first)
 """
 
 
@@ -77,8 +77,7 @@ def restore_stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/maskwell/stream-{uuid.uuid4().hex}"
     pieces.write.parquet(f"{folder}/in")
     arriving = spark.readStream.schema(pieces.schema).parquet(f"{folder}/in")
-    query = restore_stream(arriving, mapping, everywhere=True).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    run_available(restore_stream(arriving, mapping, everywhere=True).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state"), spark)
     out = spark.read.parquet(f"{folder}/out")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
     return out.groupBy("stream_id").agg(joined.alias("text"), F.count_if("done").alias("done"), F.count("error").alias("errors"))

@@ -32,5 +32,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """A small ``df`` dealt out over all cores; a large one as it is, without a shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df

@@ -11,8 +11,9 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.restore import Restorer
@@ -95,3 +96,16 @@ def restore_stream(pieces: DataFrame, mapping: DataFrame | dict[tuple[str, int],
         yield pd.DataFrame([(*key, *r, None) for r in out], columns=COLUMNS)
 
     return whole.groupBy("stream_id", "kind").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_available(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Runs a stream of restore_stream() over what is there and ends it. Batches without data, which look for timeouts for as
+    long as a stream runs, are off for this one; else it would never end."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        query = writer.trigger(availableNow=True).start()  # takes its own copy of the settings
+    finally:
+        spark.conf.set(key, before)
+    query.awaitTermination()

@@ -1,5 +1,5 @@
 from maskwell.operators.redact import redact_texts
-from maskwell.streaming.restore_stream import restore_stream
+from maskwell.streaming.restore_stream import restore_stream, run_available
 
 
 def test_pieces_of_two_streams_are_restored(spark, tmp_path):
@@ -10,8 +10,7 @@ def test_pieces_of_two_streams_are_restored(spark, tmp_path):
     for i in range(0, len(rows), 3):
         spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     pieces = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = restore_stream(pieces, entries).writeStream.format("memory").queryName("restored").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    run_available(restore_stream(pieces, entries).writeStream.format("memory").queryName("restored").outputMode("append").option("checkpointLocation", f"{tmp_path}/state"), spark)
     got = {}
     for r in spark.table("restored").orderBy("stream_id", "kind", "seq").collect():
         got[r.stream_id, r.kind] = got.get((r.stream_id, r.kind), "") + r.text
@@ -24,8 +23,7 @@ def test_each_stream_has_the_values_of_its_own_conversation(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     mapping = spark.createDataFrame([(1, "EMAIL", 1, "a@x.org", False), (2, "EMAIL", 1, "b@x.org", False), (None, "EMAIL", 1, "n@x.org", False)], "conv_id long, namespace string, idx int, value string, exact_only boolean")
     pieces = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    query = restore_stream(pieces, mapping).writeStream.format("memory").queryName("own_values").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    run_available(restore_stream(pieces, mapping).writeStream.format("memory").queryName("own_values").outputMode("append").option("checkpointLocation", f"{tmp_path}/state"), spark)
     got = {}
     for r in spark.table("own_values").orderBy("stream_id", "seq").collect():
         got[r.stream_id] = got.get(r.stream_id, "") + r.text
