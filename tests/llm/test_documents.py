@@ -210,8 +210,9 @@ def test_lines_meet_at_the_threshold_whatever_the_number_of_lines():
 
 def line_groups(rows, similarity=0.8):
     """By all pairs: the smallest place of each line's group, and the links."""
-    words = [line_dedup.normalised(t).split() for t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if words[i] == words[j] or (min(len(words[i]), len(words[j])) >= 4 and line_dedup.similar(words[i], words[j], similarity))]
+    lines = [line_dedup.Line(line_dedup.normalised(t)) for t in rows]
+    words = [x.words for x in lines]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if words[i] == words[j] or (min(len(words[i]), len(words[j])) >= 4 and line_dedup.similar(lines[i], lines[j], similarity))]
     comp = list(range(len(rows)))
     for _ in rows:
         for i, j in links:
