@@ -50,7 +50,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: A learned model, sketches and packing can't be said in SQL; tests compare each stage with a plain version.
+#: A learned model, sketches and packing can't be said in SQL. Each stage is one operator, tested by itself: against SQL, all pairs or
+#: its library, and toxicity on planted words.
 ORACLE_SQL = None
 
 
