@@ -6,17 +6,20 @@ the edits of words over the words of the longer line. Each connected group keeps
 line; all others are removed from their texts.
 
 Candidates come by the pigeonhole principle on words: e edits leave at most e + 1 untouched runs of the longer line of n words,
-so that one has (n - e) / (e + 1) words at least, which is three from six words on at 0.8. Lines therefore meet by runs of
-three words (those of four and five words by runs of two as well). Lines of up to RUNS + 2 words have all their runs as keys
-and lose no link. Of longer ones RUNS runs are taken by hash, frequent ones last: two lines at the threshold share a
-third of their runs where edits are anywhere, and miss each other with a probability of 0.66 ** 16 = 0.0013. That depends on
-neither the lines' length nor the size of the input. Blocks of SimHash bits can't do that: at this similarity a fifth of the
-bits differs, so that a block that is wide enough to tell lines apart is hardly ever equal. SimHash decides which of the pairs
-that meet are verified: linked lines differ in more than FAR bits with a probability under 1e-4.
-
-Keys travel as packed arrays and only those of two lines or more become rows. Up to SMALL lines of one key all likely pairs
-are verified; in larger groups a forest of them, and after that, among the lines of pairs that the forest left out, all likely
-pairs that are still in different components.
+so that one has (n - e) / (e + 1) words at least, which is three from six words on at 0.8. Lines of up to RUNS + 2 words
+therefore meet by all their runs of three words (those of four and five words by runs of two as well). Longer ones meet by
+runs of two words, of which one line alone has to give a share: an edit destroys two at most, so that more than 0.4 n of
+them can't all be destroyed. Each line gives those that come first in one order of all runs, rare ones first. Of two linked lines
+take the one whose runs end first in that order: one of its runs is left in the other, and stands among the other's own. So
+no link is lost, whatever the order is. Blocks of SimHash bits can't do that: at this similarity a fifth of the bits differs,
+so that a block that is wide enough to tell lines apart is hardly ever equal.
+
+Of the pairs that meet those are verified that are near by SimHash, and those that are not but which the parities of their
+words can't rule out: each edit changes two of the PARITIES bits at most.
+
+Keys travel as packed arrays. Up to SMALL lines of one key all pairs whose sizes and places allow a link leave the task; in larger
+groups a forest of the likely ones, and after that, among the lines of pairs that the forest left out, all likely pairs that
+are still in different components.
 """
 
 from __future__ import annotations
@@ -43,9 +46,15 @@ SIMILARITY = 0.8
 BITS = 128
 #: Bits that linked lines differ in, at most: four sigma above the mean of lines at the threshold.
 FAR = 44
+#: Bits of a line of which each says whether the number of words that fall to it is odd.
+PARITIES = 256
 #: Words of a run, and runs of a line that are its keys.
 RUN, RUNS = 3, 16
-#: Counters of runs, by their hash. Runs that share one count together, which changes the choice of runs of some lines.
+#: Words of the shortest line that may be linked with one of more than RUNS + 2 words.
+LONG = -(-(RUNS + 3) * 4 // 5)
+#: A place or a number of words that 16 bits can't hold, or that isn't known.
+OPEN = 65535
+#: Counters of runs, by their hash. Runs that share one count together, which changes only the order that they are taken in.
 COUNTERS = 1 << 20
 CHUNKS = 64
 #: A run is frequent if its counter is beyond both this number and so many times the mean counter.
@@ -61,6 +70,7 @@ SLICES = 4
 _U = np.uint64
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], _U)
 _ODD = 0x9E3779B97F4A7C15
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _BLANK = bytes(32 if 32 < c < 127 and not chr(c).isalnum() else c for c in range(256))
 _LOWER = _BLANK.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
@@ -148,12 +158,12 @@ class Words:
         self.lines, self.at, self.sizes = np.unique(line, return_index=True, return_counts=True)
         self.place = np.arange(len(line)) - np.repeat(self.at, self.sizes)
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each line's words in their order."""
+    def fingerprints(self, number: int = 2) -> tuple[np.ndarray, ...]:
+        """Two 64-bit hashes of each line's words in their order, or the first one."""
         powers = np.full(int(self.sizes.max(initial=0)) + 1, _ODD, _U)
         powers[0] = 1
         powers = np.cumprod(powers, dtype=_U)[self.place]
-        return tuple(_mix(np.add.reduceat(_mix(self.hashes ^ s) * powers, self.at) + self.sizes.astype(_U)).view(np.int64) for s in _SALT)
+        return tuple(_mix(np.add.reduceat(_mix(self.hashes ^ s) * powers, self.at) + self.sizes.astype(_U)).view(np.int64) for s in _SALT[:number])
 
     def simhashes(self) -> np.ndarray:
         """BITS bits of each line, as rows of 64-bit numbers."""
@@ -171,19 +181,49 @@ class Words:
             out[a:b] = np.packbits(2 * ones.astype(np.int64) > sizes[:, None], axis=1)
         return out.view(_U)
 
+    def parities(self) -> np.ndarray:
+        """PARITIES bits of each line, as rows of 64-bit numbers."""
+        own = _mix(self.hashes ^ _SALT[1])
+        which, bit = own >> _U(32) & _U(PARITIES // 64 - 1), _U(1) << (own & _U(63))
+        return np.stack([np.bitwise_xor.reduceat(np.where(which == _U(i), bit, _U(0)), self.at) for i in range(PARITIES // 64)], axis=1)
+
     def runs(self, k: int, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lines, of those that fit, and the hashes of all runs of ``k`` words."""
+        own, line = self._starts(k, fits)
+        return line, self._hashed(k, own)
+
+    def _starts(self, k: int, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         line = np.repeat(np.arange(len(self.at)), self.sizes)
         own = np.flatnonzero(fits[line] & (self.place + k <= self.sizes[line]))
+        return own, line[own]
+
+    def _hashed(self, k: int, own: np.ndarray) -> np.ndarray:
         key = np.full(len(own), k, _U)
         for i in range(k):
             key = _mix(key * _U(_ODD) + self.hashes[own + i])
-        return line[own], key
-
-    def keys(self, ranks: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the lines, and a key for each: RUNS runs by hash, frequent ones last."""
+        return key
+
+    def prefixes(self, rarity: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the lines of LONG words or more, and the runs of two words that each needs: more than 0.4 n of them,
+        the first in the order of all runs, and where they stand in their line."""
+        own, line = self._starts(2, self.sizes >= max(LONG, min_words))
+        key = self._hashed(2, own)
+        rank = rarity[(key % _U(len(rarity))).astype(np.int64)]
+        at = line.astype(_U) << _U(40) | rank.astype(_U) << _U(32) | key >> _U(32)
+        order = np.argsort(at)
+        line, at = line[order], at[order]
+        first = np.searchsorted(line, line)
+        # runs that tie with the last one belong to it
+        last = at[np.minimum(first + 2 * self.sizes[line] // 5, len(line) - 1)] if len(line) else at
+        keep = at <= last
+        order = order[keep]
+        return line[keep], _mix(key[order] ^ _SALT[0]), self.place[own[order]]
+
+    def keys(self, ranks: np.ndarray, min_words: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the lines (of up to ``longest`` words), and a key for each: RUNS runs by hash, frequent ones last."""
         places, keys = [], []
-        for k, fits in ((RUN, self.sizes >= max(RUN, min_words)), (2, (self.sizes >= max(2, min_words)) & (self.sizes <= RUN + 2))):
+        most = self.sizes.max(initial=0) if longest is None else longest
+        for k, fits in ((RUN, (self.sizes >= max(RUN, min_words)) & (self.sizes <= most)), (2, (self.sizes >= max(2, min_words)) & (self.sizes <= RUN + 2))):
             line, key = self.runs(k, fits)
             rank = ranks[(key % _U(len(ranks))).astype(np.int64)]
             order = np.argsort(line.astype(_U) << _U(40) | rank.astype(_U) << _U(32) | key >> _U(32))
@@ -194,43 +234,56 @@ class Words:
         return np.concatenate(places), np.concatenate(keys)
 
 
-_LINES = [("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("payload", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())]
+_LINES = [("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
+#: The sketches of a line: SimHash and parities.
+_SKETCH = ["s0", "s1", "p0", "p1", "p2", "p3"]
 
 
 def _table(fields: list, columns: dict, rows: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[n] if n in columns else pa.nulls(rows, t) for n, t in fields], [n for n, _ in fields])
 
 
-def _line_rows(batches):
-    """A row for each line that has words, and at the end the counters of the runs of all, in CHUNKS rows."""
-    counts = np.zeros(COUNTERS, np.uint32)
+def _words(batches):
+    """Batches piece by piece: the batch, its rows a to b, their normalised texts in one, and the words of these."""
     for batch in batches:
         texts = [normalised(t) for t in texts_of(batch)]
-        ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
-        missing = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         for a, b in parts([len(t) for t in texts], STEP_CHARS):
             raw = b"\n".join(texts[a:b]) + b"\n"
             w = Words(raw)
-            if not len(w.at):
-                continue
-            _, runs = w.runs(RUN, w.sizes >= RUN)
-            counts += np.bincount((runs % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            ends = np.cumsum([t.count(b"\n") + 1 for t in texts[a:b]])
-            doc = np.searchsorted(ends, w.lines, side="right")
-            f1, f2 = w.fingerprints()
-            sims = w.simhashes().view(np.int64)
-            starts = np.concatenate([[0], w.breaks + 1])
-            # a line's payload goes up to the next line that has words; what is between are blanks
-            offsets = np.append(starts[w.lines], len(raw)).astype(np.int32)
-            payload = pa.Array.from_buffers(pa.binary(), len(w.at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
-            yield _table(_LINES, {
-                "doc_id": pa.array(ids[a:b][doc].astype(np.int64), mask=missing[a:b][doc]), "mark": pa.array(marks[a:b][doc]), "line": pa.array((w.lines - np.append(0, ends)[doc]).astype(np.int32)),
-                "f1": pa.array(f1), "f2": pa.array(f2), "n": pa.array(w.sizes.astype(np.int32)), "s0": pa.array(sims[:, 0]), "s1": pa.array(sims[:, 1]), "payload": payload,
-            }, len(w.at))
+            if len(w.at):
+                yield batch, a, b, texts[a:b], raw, w
+
+
+def _line_rows(batches):
+    """A row for each line that has words, and at the end the counters of the runs of all, in CHUNKS rows."""
+    counts = np.zeros(COUNTERS, np.uint32)
+    for batch, a, b, texts, _, w in _words(batches):
+        ids, marks = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
+        missing = batch.column("doc_id").slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
+        _, runs = w.runs(2, w.sizes >= LONG)
+        counts += np.bincount((runs % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        ends = np.cumsum([t.count(b"\n") + 1 for t in texts])
+        doc = np.searchsorted(ends, w.lines, side="right")
+        f1, f2 = w.fingerprints()
+        sketches = np.concatenate([w.simhashes(), w.parities()], axis=1).view(np.int64)
+        yield _table(_LINES, {
+            "doc_id": pa.array(ids[doc].astype(np.int64), mask=missing[doc]), "mark": pa.array(marks[doc]), "line": pa.array((w.lines - np.append(0, ends)[doc]).astype(np.int32)),
+            "f1": pa.array(f1), "f2": pa.array(f2), "n": pa.array(w.sizes.astype(np.int32)), **{c: pa.array(sketches[:, i]) for i, c in enumerate(_SKETCH)},
+        }, len(w.at))
     if counts.any():
         yield _table(_LINES, {"chunk": pa.array(np.arange(CHUNKS, dtype=np.int32)), "counts": pa.array([x.tobytes() for x in np.split(counts, CHUNKS)], pa.binary())}, CHUNKS)
 
 
+def _payloads(min_words: int, batches):
+    """The nodes of lines and their normalised words."""
+    for _, _, _, _, raw, w in _words(batches):
+        # a line's payload goes up to the next line that has words; what is between are blanks
+        offsets = np.append(np.append(0, w.breaks + 1)[w.lines], len(raw)).astype(np.int32)
+        payload = pa.Array.from_buffers(pa.binary(), len(w.at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+        long = pa.array(w.sizes >= min_words)
+        yield pa.RecordBatch.from_arrays([pa.array(w.fingerprints(1)[0]).filter(long), payload.filter(long)], ["node", "payload"])
+
+
 def _summed(batches):
     """The sum of each chunk's counters; rows are sorted by chunk."""
     now, total = None, None
@@ -251,85 +304,143 @@ def frequency_ranks(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 100).astype(np.uint8)
 
 
-def _ranks(lines: DataFrame) -> np.ndarray:
-    """The runs' ranks over the corpus: COUNTERS numbers, whatever the data."""
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """An order of runs by their counters, rare ones first."""
+    return np.clip(np.ceil(4 * np.log2(np.maximum(counts, 1))), 0, 255).astype(np.uint8)
+
+
+def _counts(lines: DataFrame) -> np.ndarray:
+    """How often runs stand in the corpus: COUNTERS numbers, whatever the data."""
     dealt = lines.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").sortWithinPartitions("chunk")
     counts = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint64)
     for row in dealt.mapInArrow(_summed, "chunk int, counts binary").toArrow().to_pylist():
         counts[row["chunk"]] = np.frombuffer(row["counts"], np.uint64)
-    return frequency_ranks(counts.ravel().astype(np.float64))
+    return counts.ravel().astype(np.float64)
+
+
+def _blob(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> bytes:
+    """Sorted 32-bit keys, 64-bit nodes and 16-bit sizes and places; all but the nodes as planes of bytes, compressed."""
+    planes = [x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in (np.diff(keys, prepend=keys[:1]), sizes, at)]
+    small = _ZSTD.compress(b"".join(planes), asbytes=True)
+    return np.array([len(keys), len(small), keys[0]], "<u4").tobytes() + small + nodes.tobytes()
+
 
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, small, first = np.frombuffer(blob, "<u4", 3).tolist()
+    planes = np.frombuffer(_ZSTD.decompress(blob[12 : 12 + small], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    keys, sizes, at = (np.ascontiguousarray(planes[i:j].T).view(t).ravel() for i, j, t in ((0, 4, "<u4"), (4, 6, "<u2"), (6, 8, "<u2")))
+    return np.cumsum(keys, dtype=np.uint32) + np.uint32(first), np.frombuffer(blob, "<i8", n, 12 + small), sizes, at
 
-def _packed(ranks: np.ndarray, min_words: int, n_parts: int, batches):
-    """The keys of lines as arrays for each part: 32-bit keys, 64-bit nodes, and the lines' words in 16 bits."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+def _packed(ranks: np.ndarray, order_of: np.ndarray, min_words: int, n_parts: int, batches):
+    """The keys of lines as arrays for each part: 32-bit keys, 64-bit nodes, and the lines' words and the runs' places in 16 bits."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def sent():
-        keys, nodes, sizes = (np.concatenate(x) for x in zip(*held))
+        keys, nodes, sizes, at = (np.concatenate(x) for x in zip(*held))
         held.clear()
         part = (keys >> _U(32)) % _U(n_parts)
-        order = np.lexsort((nodes, keys & _U(0xFFFFFFFF), part))
-        keys, nodes, sizes, part = keys[order], nodes[order], sizes[order], part[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
-        keys, nodes, sizes, part = keys[new].astype("<u4"), nodes[new], sizes[new].astype("<u2"), part[new]
+        order = np.argsort(part << _U(32) | keys & _U(0xFFFFFFFF))
+        keys, nodes, sizes, at, part = keys[order].astype("<u4"), nodes[order], sizes[order].astype("<u2"), at[order].astype("<u2"), part[order]
         ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)).tolist()
         places = [(x, min(x + BLOB, j)) for i, j in zip([0, *ends], ends) for x in range(i, j, BLOB)]
-        blobs = [b"".join(y[a:b].tobytes() for y in (keys, nodes, sizes)) for a, b in places]
+        blobs = [_blob(keys[a:b], nodes[a:b], sizes[a:b], at[a:b]) for a, b in places]
         return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in places], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-    for batch in batches:
-        f1, payloads = batch.column("f1").to_numpy(zero_copy_only=False), batch.column("payload").to_pylist()
-        for a, b in parts([len(x) for x in payloads], STEP_CHARS):
-            w = Words(b"\n".join(x.replace(b"\n", b" ") for x in payloads[a:b]))
-            places, keys = w.keys(ranks, min_words)
-            held.append((keys, f1[a:b][w.lines[places]], np.minimum(w.sizes[places], 65535)))
-        if sum(len(k) for k, _, _ in held) > HELD:
+    for _, _, _, _, _, w in _words(batches):
+        places, keys = w.keys(ranks, min_words, RUNS + 2)
+        long, more, at = w.prefixes(order_of, min_words)
+        at = np.concatenate([np.full(len(keys), OPEN), at])
+        places, keys = np.concatenate([places, long]), np.concatenate([keys, more])
+        if len(keys):
+            held.append((keys, w.fingerprints(1)[0][places], np.minimum(w.sizes[places], OPEN), np.minimum(at, OPEN)))
+        if sum(len(x[0]) for x in held) > HELD:
             yield sent()
     if held:
         yield sent()
 
 
+def _fitting(n, m, i, j, similarity: float) -> np.ndarray:
+    """Whether lines of ``n`` and ``m`` words, n <= m, may be linked that have the run in common which stands at ``i`` and
+    ``j``: what is before and what is behind it differ by so many words at least."""
+    known = (i < OPEN) & (j < OPEN) & (m < OPEN)
+    return ~known | (np.abs(i - j) + np.abs((n - i) - (m - j)) <= edits(m, similarity))
+
+
 def _shared(similarity: float, batches):
-    """Of sorted parts, the keys that nodes of like sizes have: key, node, and how many such nodes have the key."""
+    """Of sorted parts, what meets by a key. Rows (a, b) of nodes whose sizes and places allow a link, and for a key of more than
+    SMALL rows its nodes, as rows (a, key, m) with the number of them."""
     now, held = None, []
 
     def met():
-        keys, nodes, sizes = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(keys, kind="stable")
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+        keys, nodes, sizes, at = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys)
+        keys = keys[order]
         same = keys[1:] == keys[:-1]
         keep = np.append(same, False) | np.append(False, same)
-        keys, nodes, sizes = keys[keep], nodes[keep], sizes[keep].astype(np.int64)
-        order = np.lexsort((nodes, sizes, keys))
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+        order, keys = order[keep], keys[keep]
+        nodes, sizes, at = nodes[order], sizes[order].astype(np.int64), at[order].astype(np.int64)
+        order = np.argsort(keys.astype(np.int64) << 16 | sizes)
+        keys, nodes, sizes, at = keys[order], nodes[order], sizes[order], at[order]
+        ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))[: len(keys)]
+        counts = np.diff(np.append(0, ends))
+        end, large = np.repeat(ends, counts), np.repeat(counts > SMALL, counts)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        here, d = np.flatnonzero(~large), 1
+        while len(here):
+            here = here[here + d < end[here]]
+            here = here[sizes[here] >= similarity * sizes[here + d] - 1e-9]  # partners only get longer
+            own = here[_fitting(sizes[here], sizes[here + d], at[here], at[here + d], similarity) & (nodes[here] != nodes[here + d])]
+            a.append(np.minimum(nodes[own], nodes[own + d]))
+            b.append(np.maximum(nodes[own], nodes[own + d]))
+            d += 1
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        yield _meeting(a[new], b[new], None, None)
+        keys, nodes = keys[large], nodes[large]
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
         new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
-        keys, nodes, sizes = keys[new], nodes[new], sizes[new]
-        # sorted by size, a node whose neighbours are both too short or too long has no partner
-        near = (keys[1:] == keys[:-1]) & (sizes[:-1] >= similarity * sizes[1:] - 1e-9)
-        many = (np.append(near, False) | np.append(False, near))[: len(keys)]
-        keys, nodes = keys[many], nodes[many]
+        keys, nodes = keys[new], nodes[new]
         _, of, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        full = keys.astype(np.int64) | np.int64(now) << 32
-        return pa.RecordBatch.from_arrays([pa.array(full), pa.array(nodes), pa.array(counts[of].astype(np.int64))], ["key", "node", "m"])
+        yield _meeting(nodes, None, keys.astype(np.int64) | np.int64(now) << 32, counts[of].astype(np.int64))
 
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
             if part != now:
                 if held:
-                    yield met()
+                    yield from met()
                 now, held = part, []
-            n = len(blob) // 14
-            held.append((np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<i8", n, 4 * n), np.frombuffer(blob, "<u2", n, 12 * n)))
+            held.append(_unblob(blob))
     if held:
-        yield met()
+        yield from met()
+
+
+def _meeting(*columns: np.ndarray | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()) if c is None else pa.array(c) for c in columns], ["a", "b", "key", "m"])
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16) > FAR
 
 
+def _unlike(n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches rule a link out, ``n`` being the words of the longer line: far by SimHash, and by parities for certain."""
+    odd = np.bitwise_count(a[..., 2:] ^ b[..., 2:]).sum(axis=-1, dtype=np.int64)
+    return _far(a[..., :2], b[..., :2]) & (odd > 2 * edits(n, similarity))
+
+
+def _not_unlike(similarity: float) -> Column:
+    """The opposite for a row with the sketches of two lines, by native columns."""
+    bits = lambda names: sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in names), F.lit(0))
+    most = F.floor((1 - similarity) * F.greatest("x_n", "y_n") + 1e-9)
+    return (bits(_SKETCH[:2]) <= FAR) | (bits(_SKETCH[2:]) <= 2 * most)
+
+
 def _blocks_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return rows["node"].to_numpy(), rows["n"].to_numpy(), rows[["s0", "s1"]].to_numpy(np.int64).view(_U)
+    return rows["node"].to_numpy(), rows["n"].to_numpy(), rows[_SKETCH].to_numpy(np.int64).view(_U)
 
 
 def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -352,7 +463,7 @@ def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
         here = here[here + d < end[here]]
         here = here[n[here] >= similarity * n[here + d] - 1e-9]  # partners only get longer
         test = here[label[root[here]] != label[root[here + d]]] if exact else here
-        test = test[~_far(sims[test], sims[test + d])]
+        test = test[~_unlike(n[test + d], sims[test], sims[test + d], similarity)]
         out.append((node[test[small[test]]], node[test[small[test]] + d], False))
         if not exact:
             united = ~small[test] & (label[root[test]] == label[root[test + d]])
@@ -389,7 +500,7 @@ def _across(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
     ids, root = np.unique(np.concatenate([left[label].to_numpy(), right[label].to_numpy()]), return_inverse=True)
     forest, kept, flagged = Roots(len(ids)), [], set()
     for i in range(len(ia)):
-        near = (np.minimum(na[i], nb) >= similarity * np.maximum(na[i], nb) - 1e-9) & ~_far(a[i], b)
+        near = (np.minimum(na[i], nb) >= similarity * np.maximum(na[i], nb) - 1e-9) & ~_unlike(np.maximum(na[i], nb), a[i], b, similarity)
         for j in np.flatnonzero(near).tolist():
             x, y = root[i], root[len(ia) + j]
             if forest.root(x) == forest.root(y):
@@ -439,7 +550,7 @@ def _compared(similarity: float, batches):
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes that share a key, out of rows of key, node, n, s0, s1 and m, and payload and comp if links are meant. Groups
+    """Pairs of nodes that share a key, out of rows of key, node, n, sketches and m, and payload and comp if links are meant. Groups
     of more than BLOCK nodes are compared block by block."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -474,21 +585,29 @@ def _verified(similarity: float, batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "forest")] + [pa.array(ok)], ["a", "b", "forest", "linked"])
 
 
-def linked_lines(lines: DataFrame, nodes: DataFrame, min_words: int, similarity: float) -> DataFrame:
+def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """(node, comp) of every node that is linked with another; comp is the smallest node of its group.
 
-    ``lines``: f1 (the node), n, payload, and the counters of runs; deleted once it has been read. ``nodes``: node, n, s0, s1. Both
-    are cuts.
+    ``docs``: text, read twice. ``lines``: the counters of its runs. ``nodes``: node, n, sketches. The latter two are cuts.
     """
     spark = lines.sparkSession
     release(spark)
-    own = lines.filter(F.col("n") >= min_words).select("f1", "payload")
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * RUNS // PART))
-    packed = own.mapInArrow(partial(_packed, _ranks(lines), min_words, n_parts), "part int, blob binary")
-    shared = cut(packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(partial(_shared, similarity), "key long, node long, m long"), "shared")
+    n_keys = nodes.select(F.sum(F.when(F.col("n") < LONG, F.col("n")).otherwise(F.col("n") * 0.4 + RUNS))).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // PART))
+    counts = _counts(lines)
+    packed = docs.select("text").mapInArrow(partial(_packed, frequency_ranks(counts), rarity(counts), min_words, n_parts), "part int, blob binary")
+    shared = cut(packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(partial(_shared, similarity), "a long, b long, key long, m long"), "shared")
+    release(spark)
+    # pairs of small groups come once each, before anything is joined
+    met = shared.filter("b is not null").select("a", "b").distinct()
+    for side, end in (("x", "a"), ("y", "b")):
+        met = met.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in ["n", *_SKETCH])), end)
+    met = cut(met.filter(_not_unlike(similarity)).select("a", "b", F.lit(False).alias("forest")), "met")
     release(spark)
-    compared = cut(_pairs(shared.join(nodes, "node"), similarity), "pairs")
-    pairs = compared.filter("b is not null").select("a", "b", "forest")
+    large = shared.filter("b is null").select("key", F.col("a").alias("node"), "m")
+    compared = cut(_pairs(large.join(nodes, "node"), similarity), "pairs")
+    found = compared.filter("b is not null").groupBy("a", "b").agg(F.max("forest").alias("forest"))
+    pairs = cut(met.unionByName(found).groupBy("a", "b").agg(F.max("forest").alias("forest")), "likely")
     flagged = compared.filter("b is null").select(F.xxhash64("key", "tree").alias("key"), F.col("a").alias("node"))
     release(spark)
     # only lines whose node falls into a wanted bucket are dealt out: the filter has FILTER_BUCKETS rows at most, so it is
@@ -496,10 +615,11 @@ def linked_lines(lines: DataFrame, nodes: DataFrame, min_words: int, similarity:
     release(spark)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).alias("bucket")
-    near = own.select(F.col("f1").alias("node"), "payload", bucket("f1")).join(F.broadcast(wanted.select(bucket("node")).distinct()), "bucket", "left_semi")
+    own = docs.select("text").mapInArrow(partial(_payloads, min_words), "node long, payload binary")
+    near = own.withColumn("bucket", bucket("node")).join(F.broadcast(wanted.select(bucket("node")).distinct()), "bucket", "left_semi")
     texts = cut(near.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload")), "texts")
-    discard(lines)
-    del near, own
+    discard(shared)
+    del near, own, met, large
     release(spark)
     # slice by slice, so that only a part of the payloads, which each pair has two of, is on the disks at once
     tested = None
@@ -533,13 +653,13 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float
     narrow_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    schema = "doc_id long, mark long, line int, f1 long, f2 long, n int, s0 long, s1 long, payload binary, chunk int, counts binary"
+    schema = "doc_id long, mark long, line int, f1 long, f2 long, n int, s0 long, s1 long, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
     lines = cut(marked.mapInArrow(_line_rows, schema), "lines", compression="zstd")
     exact_words = min_words if exact_words is None else exact_words
-    found = cut(lines.filter(F.col("n") >= exact_words).select("doc_id", "mark", "line", "f1", "f2"), "found", compression="zstd")
+    found = lines.filter(F.col("n") >= exact_words).select("doc_id", "mark", "line", "f1", "f2")
     first = F.min(F.struct("doc_id", "mark", "line")).alias("first")
-    groups = cut(lines.filter(F.col("n") >= exact_words).groupBy("f1", "f2").agg(first, F.min("n").alias("n"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.count(F.lit(1)).alias("times")), "groups")
-    comps = linked_lines(lines, groups.filter(F.col("n") >= min_words).select(F.col("f1").alias("node"), "n", "s0", "s1"), min_words, similarity)
+    groups = cut(lines.filter(F.col("n") >= exact_words).groupBy("f1", "f2").agg(first, F.min("n").alias("n"), *(F.min(c).alias(c) for c in _SKETCH), F.count(F.lit(1)).alias("times")), "groups")
+    comps = linked_lines(marked, lines, groups.filter(F.col("n") >= min_words).select(F.col("f1").alias("node"), "n", *_SKETCH), min_words, similarity)
     grouped = groups.select(F.col("f1").alias("node"), "f1", "f2", "first", "times").join(comps, "node", "left")
     leaders = cut(grouped.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("leader")), "leaders")
     many = grouped.join(leaders, "comp", "left").filter("comp is not null or times > 1")

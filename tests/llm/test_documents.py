@@ -245,6 +245,48 @@ def test_large_groups_of_lines_equal_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r._n_removed} == {i for i, c in enumerate(comp) if c != i}
 
 
+def spread(line, k):
+    """``line`` with ``k`` words replaced, inserted or left out, as far from each other as can be."""
+    w = line.split(" ")
+    for j, i in sorted(((j, int((j + 0.5) * len(w) / k)) for j in range(k)), reverse=True):
+        w[i : i + 1] = [["zz" + str(i)], ["zz" + str(i), w[i]], []][j % 3 if k % 2 else 0]
+    return " ".join(w)
+
+
+def test_long_lines_always_meet_and_sketches_rule_no_link_out():
+    rnd = random.Random(24)
+    for words in (16, 19, 20, 25, 40, 60, 150, 400):
+        a = [" ".join(WIDE[int(20_000 * rnd.random() ** 3)] for _ in range(words)) for _ in range(100)]
+        b = [spread(x, k) for x in a for k in (words // 5, words // 5 - 1)]
+        own = line_dedup.Words("\n".join(a + b).encode())
+        lines = [line_dedup.Line(x.encode()) for x in a + b]
+        links = [(i, 100 + 2 * i + j) for i in range(100) for j in (0, 1) if line_dedup.similar(lines[i], lines[100 + 2 * i + j], 0.8)]
+        assert len(links) >= 100
+        counts = np.random.default_rng(5).poisson(100_000, line_dedup.COUNTERS)
+        sketches = np.concatenate([own.simhashes(), own.parities()], axis=1)
+        x, y = np.array(links).T
+        assert not line_dedup._unlike(np.maximum(own.sizes[x], own.sizes[y]), sketches[x], sketches[y], 0.8).any()
+        for order in (np.zeros(1, np.uint8), line_dedup.rarity(counts), line_dedup.rarity(np.arange(line_dedup.COUNTERS))):
+            places, keys, at = own.prefixes(order, 4)
+            sets = [{} for _ in lines]
+            for p, key, i in zip(places.tolist(), keys.tolist(), at.tolist()):
+                sets[p].setdefault(key, []).append(i)
+            for i, j in links:
+                n, m = sorted(((len(lines[z].words), z) for z in (i, j)))
+                if m[0] > line_dedup.RUNS + 2:
+                    both = [(np.array(u), np.array(v)) for key in sets[n[1]].keys() & sets[m[1]].keys() for u in sets[n[1]][key] for v in sets[m[1]][key]]
+                    assert any(line_dedup._fitting(np.array(n[0]), np.array(m[0]), u, v, 0.8) for u, v in both), (words, i, j)
+
+
+def test_long_lines_of_frequent_runs_equal_all_pairs(spark):
+    rnd = random.Random(25)
+    base = [" ".join(rnd.choice(WIDE) for _ in range(60)) for _ in range(2)]
+    # all runs that two lines have in common are frequent, and each line has more rare ones than RUNS
+    rows = [" ".join(f"zz{i}x{j}" if j % 10 == 5 else w for j, w in enumerate(b.split(" "))) for b in base for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if not r._n_removed} == {0, 100}
+
+
 def test_lines_of_long_texts_and_clashing_columns(spark):
     line = prose(30)
     huge = "\n".join(prose(12) for _ in range(3000)) + "\n" + line + "\n" + prose(30_000)
