@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, discard, map_batches, narrow_batches, parts, release, scratch, texts_of
+from ._common import cut, discard, give_back, map_batches, narrow_batches, parts, release, scratch, texts_of
 from ._linking import FILTER_BUCKETS, Roots, components
 from .near_dup import _mix, hashed_words
 from .quality import bind
@@ -252,6 +252,7 @@ def _words(batches):
             w = Words(raw)
             if len(w.at):
                 yield batch, a, b, texts[a:b], raw, w
+    give_back()
 
 
 def _line_rows(batches):
@@ -416,6 +417,8 @@ def _shared(similarity: float, batches):
             held.append(_unblob(blob))
     if held:
         yield from met()
+    held.clear()
+    give_back()
 
 
 def _meeting(*columns: np.ndarray | None) -> pa.RecordBatch:
@@ -588,13 +591,14 @@ def _verified(similarity: float, batch: pa.RecordBatch):
 def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """(node, comp) of every node that is linked with another; comp is the smallest node of its group.
 
-    ``docs``: text, read twice. ``lines``: the counters of its runs. ``nodes``: node, n, sketches. The latter two are cuts.
+    ``docs``: text, read twice. ``lines``: the counters of its runs; deleted once it has been read. ``nodes``: node, n, sketches. The latter two are cuts.
     """
     spark = lines.sparkSession
     release(spark)
     n_keys = nodes.select(F.sum(F.when(F.col("n") < LONG, F.col("n")).otherwise(F.col("n") * 0.4 + RUNS))).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // PART))
     counts = _counts(lines)
+    discard(lines)
     packed = docs.select("text").mapInArrow(partial(_packed, frequency_ranks(counts), rarity(counts), min_words, n_parts), "part int, blob binary")
     shared = cut(packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(partial(_shared, similarity), "a long, b long, key long, m long"), "shared")
     release(spark)
@@ -608,6 +612,9 @@ def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words:
     compared = cut(_pairs(large.join(nodes, "node"), similarity), "pairs")
     found = compared.filter("b is not null").groupBy("a", "b").agg(F.max("forest").alias("forest"))
     pairs = cut(met.unionByName(found).groupBy("a", "b").agg(F.max("forest").alias("forest")), "likely")
+    discard(shared)
+    discard(met)
+    del packed, large, found
     flagged = compared.filter("b is null").select(F.xxhash64("key", "tree").alias("key"), F.col("a").alias("node"))
     release(spark)
     # only lines whose node falls into a wanted bucket are dealt out: the filter has FILTER_BUCKETS rows at most, so it is
@@ -618,8 +625,7 @@ def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words:
     own = docs.select("text").mapInArrow(partial(_payloads, min_words), "node long, payload binary")
     near = own.withColumn("bucket", bucket("node")).join(F.broadcast(wanted.select(bucket("node")).distinct()), "bucket", "left_semi")
     texts = cut(near.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload")), "texts")
-    discard(shared)
-    del near, own, met, large
+    del near, own
     release(spark)
     # slice by slice, so that only a part of the payloads, which each pair has two of, is on the disks at once
     tested = None
@@ -656,7 +662,7 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float
     schema = "doc_id long, mark long, line int, f1 long, f2 long, n int, s0 long, s1 long, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
     lines = cut(marked.mapInArrow(_line_rows, schema), "lines", compression="zstd")
     exact_words = min_words if exact_words is None else exact_words
-    found = lines.filter(F.col("n") >= exact_words).select("doc_id", "mark", "line", "f1", "f2")
+    found = cut(lines.filter(F.col("n") >= exact_words).select("doc_id", "mark", "line", "f1", "f2"), "found", compression="zstd")
     first = F.min(F.struct("doc_id", "mark", "line")).alias("first")
     groups = cut(lines.filter(F.col("n") >= exact_words).groupBy("f1", "f2").agg(first, F.min("n").alias("n"), *(F.min(c).alias(c) for c in _SKETCH), F.count(F.lit(1)).alias("times")), "groups")
     comps = linked_lines(marked, lines, groups.filter(F.col("n") >= min_words).select(F.col("f1").alias("node"), "n", *_SKETCH), min_words, similarity)
