@@ -5,14 +5,14 @@ one node with a SimHash of BITS bits of its words. Two lines are linked from an
 the edits of words over the words of the longer line. Each connected group keeps its first occurrence, by document id and
 line; all others are removed from their texts.
 
-Candidates come by the pigeonhole principle on words: e edits leave at most e + 1 untouched runs of the longer line of n words,
-so that one has (n - e) / (e + 1) words at least, which is three from six words on at 0.8. Lines of up to RUNS + 2 words
-therefore meet by all their runs of three words (those of four and five words by runs of two as well). Longer ones meet by
-runs of two words, of which one line alone has to give a share: an edit destroys two at most, so that more than 0.4 n of
-them can't all be destroyed. Each line gives those that come first in one order of all runs, rare ones first. Of two linked lines
-take the one whose runs end first in that order: one of its runs is left in the other, and stands among the other's own. So
-no link is lost, whatever the order is. Blocks of SimHash bits can't do that: at this similarity a fifth of the bits differs,
-so that a block that is wide enough to tell lines apart is hardly ever equal.
+Candidates come by the pigeonhole principle on words: lines meet by runs of two words, of which one line alone has to give a
+share. An edit destroys two at most, so that more than 0.4 n of the runs of a line of n words can't all be destroyed. Each line
+gives those that come first in one order of all runs, rare ones first. Of two linked lines take the one whose runs end first in
+that order: one of its runs is left in the other, and stands among the other's own. So no link is lost, whatever the order is.
+How few lines meet by chance hangs on the order: a run counts as frequent as its two words make likely, or as it is seen to be
+where its counter stands out. Counters of runs alone don't tell rare runs apart once there are more runs than counters.
+Blocks of SimHash bits can't do that: at this similarity a fifth of the bits differs, so that a block that is wide enough to tell
+lines apart is hardly ever equal.
 
 Of the pairs that meet those are verified that are near by SimHash, and those that are not but which the parities of their
 words can't rule out: each edit changes two of the PARITIES bits at most.
@@ -50,11 +50,12 @@ FAR = 44
 PARITIES = 256
 #: Words of a run, and runs of a line that are its keys.
 RUN, RUNS = 3, 16
-#: Words of the shortest line that may be linked with one of more than RUNS + 2 words.
-LONG = -(-(RUNS + 3) * 4 // 5)
+#: Words of the shortest line that may be linked with a different one: of fewer words, 0.8 leaves no edit.
+LEAST = 4
 #: A place or a number of words that 16 bits can't hold, or that isn't known.
 OPEN = 65535
-#: Counters of runs, by their hash. Runs that share one count together, which changes only the order that they are taken in.
+#: Counters of runs, and as many of words, by their hash. What shares one counts together, which changes only the order that
+#: runs are taken in. Each kind travels in CHUNKS rows.
 COUNTERS = 1 << 20
 CHUNKS = 64
 #: A run is frequent if its counter is beyond both this number and so many times the mean counter.
@@ -203,12 +204,16 @@ class Words:
             key = _mix(key * _U(_ODD) + self.hashes[own + i])
         return key
 
-    def prefixes(self, rarity: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the lines of LONG words or more, and the runs of two words that each needs: more than 0.4 n of them,
-        the first in the order of all runs, and where they stand in their line."""
-        own, line = self._starts(2, self.sizes >= max(LONG, min_words))
+    def prefixes(self, rarity: np.ndarray, min_words: int, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the lines of LEAST words or more, and the runs of two words that each needs: more than 0.4 n of them,
+        the first in the order of all runs, and where they stand in their line. ``words`` has the shares of words in a run's
+        rank, by their hash."""
+        own, line = self._starts(2, self.sizes >= max(LEAST, min_words))
         key = self._hashed(2, own)
         rank = rarity[(key % _U(len(rarity))).astype(np.int64)]
+        if words is not None:
+            share = words[(self.hashes % _U(len(words))).astype(np.int64)]
+            rank = np.maximum(rank, np.clip(share[own] + share[own + 1], 0, 255).astype(np.uint8))
         at = line.astype(_U) << _U(40) | rank.astype(_U) << _U(32) | key >> _U(32)
         order = np.argsort(at)
         line, at = line[order], at[order]
@@ -256,13 +261,13 @@ def _words(batches):
 
 
 def _line_rows(batches):
-    """A row for each line that has words, and at the end the counters of the runs of all, in CHUNKS rows."""
-    counts = np.zeros(COUNTERS, np.uint32)
+    """A row for each line that has words, and at the end the counters of all runs and words, in CHUNKS rows each."""
+    counts = np.zeros((2, COUNTERS), np.uint32)
     for batch, a, b, texts, _, w in _words(batches):
         ids, marks = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
         missing = batch.column("doc_id").slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
-        _, runs = w.runs(2, w.sizes >= LONG)
-        counts += np.bincount((runs % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        for i, counted in enumerate((w.runs(2, w.sizes >= LEAST)[1], w.hashes)):
+            counts[i] += np.bincount((counted % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
         ends = np.cumsum([t.count(b"\n") + 1 for t in texts])
         doc = np.searchsorted(ends, w.lines, side="right")
         f1, f2 = w.fingerprints()
@@ -272,7 +277,7 @@ def _line_rows(batches):
             "f1": pa.array(f1), "f2": pa.array(f2), "n": pa.array(w.sizes.astype(np.int32)), **{c: pa.array(sketches[:, i]) for i, c in enumerate(_SKETCH)},
         }, len(w.at))
     if counts.any():
-        yield _table(_LINES, {"chunk": pa.array(np.arange(CHUNKS, dtype=np.int32)), "counts": pa.array([x.tobytes() for x in np.split(counts, CHUNKS)], pa.binary())}, CHUNKS)
+        yield _table(_LINES, {"chunk": pa.array(np.arange(2 * CHUNKS, dtype=np.int32)), "counts": pa.array([x.tobytes() for x in np.split(counts.ravel(), 2 * CHUNKS)], pa.binary())}, 2 * CHUNKS)
 
 
 def _payloads(min_words: int, batches):
@@ -306,17 +311,26 @@ def frequency_ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """An order of runs by their counters, rare ones first."""
-    return np.clip(np.ceil(4 * np.log2(np.maximum(counts, 1))), 0, 255).astype(np.uint8)
+    """Ranks of runs by their counters, four for each doubling, rare ones first. Only a counter that stands out, by twice the mean
+    of all, says something about its run; the others are 0."""
+    mean = counts.mean()
+    return np.where(counts > 2 * mean, np.clip(np.ceil(4 * np.log2(np.maximum(counts - mean, 1))) + 48, 0, 255), 0).astype(np.uint8)
 
 
-def _counts(lines: DataFrame) -> np.ndarray:
-    """How often runs stand in the corpus: COUNTERS numbers, whatever the data."""
+def shares(counts: np.ndarray) -> np.ndarray:
+    """What each word adds to a run's rank: two shares together rank the number of such runs among independent words, as
+    rarity() does, from 2 ** -12 on."""
+    return np.round(4 * np.log2(np.maximum(counts, 1)) - 2 * np.log2(max(counts.sum(), 1)) + 24).astype(np.int16)
+
+
+def _counts(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often runs and words stand in the corpus: COUNTERS numbers each, whatever the data."""
     dealt = lines.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").sortWithinPartitions("chunk")
-    counts = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint64)
+    counts = np.zeros((2 * CHUNKS, COUNTERS // CHUNKS), np.uint64)
     for row in dealt.mapInArrow(_summed, "chunk int, counts binary").toArrow().to_pylist():
         counts[row["chunk"]] = np.frombuffer(row["counts"], np.uint64)
-    return counts.ravel().astype(np.float64)
+    runs, words = counts.reshape(2, -1).astype(np.float64)
+    return runs, words
 
 
 def _blob(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> bytes:
@@ -333,7 +347,7 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(keys, dtype=np.uint32) + np.uint32(first), np.frombuffer(blob, "<i8", n, 12 + small), sizes, at
 
 
-def _packed(ranks: np.ndarray, order_of: np.ndarray, min_words: int, n_parts: int, batches):
+def _packed(order_of: np.ndarray, of_words: np.ndarray, min_words: int, n_parts: int, batches):
     """The keys of lines as arrays for each part: 32-bit keys, 64-bit nodes, and the lines' words and the runs' places in 16 bits."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -349,10 +363,7 @@ def _packed(ranks: np.ndarray, order_of: np.ndarray, min_words: int, n_parts: in
         return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in places], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     for _, _, _, _, _, w in _words(batches):
-        places, keys = w.keys(ranks, min_words, RUNS + 2)
-        long, more, at = w.prefixes(order_of, min_words)
-        at = np.concatenate([np.full(len(keys), OPEN), at])
-        places, keys = np.concatenate([places, long]), np.concatenate([keys, more])
+        places, keys, at = w.prefixes(order_of, min_words, of_words)
         if len(keys):
             held.append((keys, w.fingerprints(1)[0][places], np.minimum(w.sizes[places], OPEN), np.minimum(at, OPEN)))
         if sum(len(x[0]) for x in held) > HELD:
@@ -595,11 +606,11 @@ def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words:
     """
     spark = lines.sparkSession
     release(spark)
-    n_keys = nodes.select(F.sum(F.when(F.col("n") < LONG, F.col("n")).otherwise(F.col("n") * 0.4 + RUNS))).first()[0] or 0
+    n_keys = nodes.select(F.sum(F.col("n") * 0.4 + 1)).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // PART))
-    counts = _counts(lines)
+    runs, words = _counts(lines)
     discard(lines)
-    packed = docs.select("text").mapInArrow(partial(_packed, frequency_ranks(counts), rarity(counts), min_words, n_parts), "part int, blob binary")
+    packed = docs.select("text").mapInArrow(partial(_packed, rarity(runs), shares(words), min_words, n_parts), "part int, blob binary")
     shared = cut(packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(partial(_shared, similarity), "a long, b long, key long, m long"), "shared")
     release(spark)
     # pairs of small groups come once each, before anything is joined

@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -536,3 +537,18 @@ def test_names_are_noise_only_where_the_text_is_elsewhere():
         assert html_text.main_text(source) == body, source
     titles = "<section id='related-work'><h2 id='notice-period'>Notice</h2>a</section><h2 id='search'>Search</h2><p class='ad-hoc'>b</p>"
     assert html_text.main_text(f"<body><article><p>{body}</p>{titles}<section id=comments>c</section><div class=share-bar>d</div></article>") == f"{body} Notice a Search b"
+
+
+def test_lines_seldom_meet_by_chance_in_a_large_corpus():
+    """The counters of runs are those of a corpus with far more runs than counters, where rare runs can't be told apart by them."""
+    rnd = random.Random(31)
+    rows = [" ".join(WIDE[int(20_000 * rnd.random() ** 3)] for _ in range(rnd.choice((8, 12, 17, 30, 60)))) for _ in range(6000)]
+    raw = "\n".join(rows).encode()
+    counts = np.zeros((2, line_dedup.COUNTERS))
+    for row in (r for b in line_dedup._line_rows([pa.RecordBatch.from_pydict({"doc_id": [1], "mark": [1], "text": [raw.decode()]})]) for r in b.to_pylist() if r["counts"]):
+        counts.reshape(2 * line_dedup.CHUNKS, -1)[row["chunk"]] = np.frombuffer(row["counts"], np.uint32)
+    runs = counts[0] + np.random.default_rng(7).poisson(10_000, line_dedup.COUNTERS)
+    blobs = [b for batch in line_dedup._packed(line_dedup.rarity(runs), line_dedup.shares(counts[1]), 4, 1, [pa.RecordBatch.from_pydict({"text": [raw.decode()]})]) for b in batch.column("blob").to_pylist()]
+    met = pa.Table.from_batches(line_dedup._shared(0.8, [pa.RecordBatch.from_pydict({"part": pa.array([0] * len(blobs), pa.int32()), "blob": blobs})])).to_pandas()
+    pairs = met[met["b"].notna()].drop_duplicates(["a", "b"])
+    assert len(pairs) + met["b"].isna().sum() < 100  # 412 when only counters of runs gave the order
