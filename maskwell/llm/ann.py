@@ -4,8 +4,9 @@ Codebooks of 16 centroids for each pair of dimensions are fitted on a bounded sa
 the residual that is parallel to the vector more than the orthogonal one, as only that one moves large inner products;
 assignment goes by coordinate descent over the subspaces, and a centroid solves the weighted least squares of its points.
 Codes are four bits; two share a byte. A scan looks up, for each query, a table of 256 sums for each byte and adds them. The
-best by that are ranked again by exact inner products in double precision, and after them, chunk by chunk, all others whose
-code score and largest error (the residual's norm by the query's) reach the best k + 1 so far: no cut loses one of them.
+best by that are ranked again by exact inner products in double precision, and after them all others whose code score and
+largest error (the residual's norm by the query's) reach the best k + 1 so far: no cut loses one of them. For a block of queries
+these others are multiplied as one matrix; only what reaches the best but for rounding is summed again in the exact order.
 
 Equal vectors are one entry with their smallest ids, so copies can't crowd out others. Entries are dealt into slots; the
 stated queries, in blocks, are scanned against every slot, and each slot returns its exact best. A slot, a block and what
@@ -27,6 +28,8 @@ from ._common import cut
 TRAIN_ROWS = 10_000
 #: Entries of one slot, queries of one block, and candidates of a slot that are ranked again for each query at once.
 SLOT, BLOCK, RERANK = 8192, 1024, 192
+#: Queries that are scanned together.
+SCAN = 128
 #: Inner products of a unit vector from which errors matter; it sets the weight of the parallel residual.
 SCORE_THRESHOLD = 0.2
 CENTROIDS = 16
@@ -106,11 +109,12 @@ class Codebooks:
         return (t[:, 1::2, :, None] + t[:, ::2, None, :]).reshape(len(q), -1, 256)
 
 
-def _inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, dimension by dimension; q (d), x (rows, d)."""
-    out = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        out += q[i] * x[:, i]
+def _inner(q: np.ndarray, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, dimension by dimension: of each query of q (queries, d) with its own rows
+    (queries, n) of the vectors that are the columns of x (d, vectors)."""
+    out = np.zeros(rows.shape)
+    for i in range(len(x)):
+        out += q[:, i, None] * x[i].take(rows)
     return out
 
 
@@ -141,47 +145,45 @@ def _scan(books: Codebooks, dim: int, k: int, rerank: int, queries: pd.DataFrame
         order = np.argsort(smallest)  # of equal scores the smallest id comes first
         codes, norms, left, first, counts, vectors = np.ascontiguousarray(codes[order].T), norms[order], left[order], first[order], counts[order], vectors[order]
         n, keep = len(counts), min(len(counts), max(rerank, k + 1))
-        q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        for a in range(0, len(q), 32):
-            tables = books.tables(q[a : a + 32])
-            scores = np.zeros((len(tables), n), np.float32)
+        columns = np.ascontiguousarray(vectors.T)
+        names, every = queries["query_id"].to_numpy(), np.stack(queries["embedding"].to_numpy()).astype(np.float64)
+        for a in range(0, len(every), SCAN):
+            q = every[a : a + SCAN]
+            tables = books.tables(q)
+            scores = np.zeros((len(q), n), np.float32)
             for j in range(codes.shape[0]):
                 scores += tables[:, j].take(codes[j], axis=1)
             # what a score may be at most; the last term is for the rounding of the tables' sums
-            size = np.linalg.norm(q[a : a + 32], axis=1)
+            size = np.linalg.norm(q, axis=1)
             top = (scores + size[:, None] * left + np.abs(tables).max(axis=2).sum(axis=1)[:, None] * 1e-5) * norms
             scores = scores * norms
-            near = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(tables), 1))
+            near = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(q), 1))
+            exact = _inner(q, columns, near)
+            least = np.partition(exact, -k - 1, axis=1)[:, -k - 1] if keep > k else np.full(len(q), -np.inf)
+            reach = top >= least[:, None]
+            reach[np.arange(len(q))[:, None], near] = False
+            some = np.flatnonzero(reach.any(axis=0))
+            if len(some):
+                # the product's sums and the exact ones are rounded in another order
+                rounding = dim * 1e-15 * size[:, None] * norms[some]
+                product = q @ (vectors if len(some) == n else vectors[some]).T
+                reach = reach[:, some] & (product >= least[:, None] - rounding)
             for row, own in enumerate(near):
-                exact = _inner(q[a + row], vectors[own])
-                least = np.partition(exact, -k - 1)[-k - 1] if keep > k else -np.inf
-                rest = top[row] >= least
-                rest[own] = False
-                rest = np.flatnonzero(rest)
-                rest = rest[np.argsort(-top[row, rest])]
-                for c in range(0, len(rest), keep):
-                    more = rest[c : c + keep]
-                    if top[row, more[0]] < least:
-                        break
-                    score = _inner(q[a + row], vectors[more])
-                    good = score >= least
-                    own, exact = np.append(own, more[good]), np.append(exact, score[good])
-                    if good.any():
-                        least = np.partition(exact, -k - 1)[-k - 1]
-                        good = exact >= least
-                        own, exact = own[good], exact[good]
-                by = np.lexsort((own, -exact))[: k + 1]
-                best, exact = own[by], exact[by]
-                out_q.append(queries["query_id"].iloc[a + row])
-                out_ids.append(np.concatenate([ids[first[b] : first[b] + counts[b]] for b in best]))
-                out_scores.append(np.repeat(exact, counts[best]))
-    rows = []
-    for query, some, scores in zip(out_q, out_ids, out_scores):
-        other = some != query
-        some, scores = some[other], scores[other]
-        best = np.lexsort((some, -scores))[:k]
-        rows.append(pd.DataFrame({"query_id": query, "vec_id": some[best], "score": scores[best]}))
-    return pd.concat(rows) if rows else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                score = exact[row]
+                if len(some) and len(more := some[reach[row]]):
+                    own, score = np.append(own, more), np.append(score, _inner(q[row : row + 1], columns, more[None])[0])
+                by = np.lexsort((own, -score))[: k + 1]
+                best, score = own[by], score[by]
+                found = np.concatenate([ids[first[b] : first[b] + counts[b]] for b in best])
+                score = np.repeat(score, counts[best])
+                other = found != names[a + row]
+                found, score = found[other], score[other]
+                best = np.lexsort((found, -score))[:k]
+                out_q.append(np.full(len(best), names[a + row]))
+                out_ids.append(found[best])
+                out_scores.append(score[best])
+    columns = (np.concatenate(x or [np.zeros(0, t)]).astype(t) for x, t in ((out_q, np.int64), (out_ids, np.int64), (out_scores, np.float64)))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
 
 def nearest(df: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -552,3 +553,16 @@ def test_lines_seldom_meet_by_chance_in_a_large_corpus():
     met = pa.Table.from_batches(line_dedup._shared(0.8, [pa.RecordBatch.from_pydict({"part": pa.array([0] * len(blobs), pa.int32()), "blob": blobs})])).to_pandas()
     pairs = met[met["b"].notna()].drop_duplicates(["a", "b"])
     assert len(pairs) + met["b"].isna().sum() < 100  # 412 when only counters of runs gave the order
+
+
+def test_few_inner_products_are_summed_one_by_one(monkeypatch):
+    x = np.random.default_rng(1).normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = ann.Codebooks.fit(x[:2000])
+    slot = pd.concat(list(ann._encoded(books, 1, 64, [pd.DataFrame({"slot": 0, "ids": [np.array([i]) for i in range(8192)], "embedding": list(x)})])))
+    summed, inner = [], ann._inner
+    monkeypatch.setattr(ann, "_inner", lambda *args: summed.append(inner(*args)) or summed[-1])
+    got = ann._scan(books, 64, 20, ann.RERANK, pd.DataFrame({"query_id": np.arange(0, 8192, 200), "embedding": list(x[::200])}), slot)
+    for query, own in got.groupby("query_id"):
+        assert own["vec_id"].tolist() == [i for i in np.argsort(-(x @ x[query]), kind="stable").tolist() if i != query][:20]
+    assert len(got) == 41 * 20 and sum(s.size for s in summed) < 41 * 400  # 164,280 before
