@@ -566,3 +566,29 @@ def test_few_inner_products_are_summed_one_by_one(monkeypatch):
     for query, own in got.groupby("query_id"):
         assert own["vec_id"].tolist() == [i for i in np.argsort(-(x @ x[query]), kind="stable").tolist() if i != query][:20]
     assert len(got) == 41 * 20 and sum(s.size for s in summed) < 41 * 400  # 164,280 before
+
+
+def test_short_lines_always_meet_by_the_first_runs():
+    rnd = random.Random(32)
+    for words in range(4, 19):
+        a = [" ".join(WIDE[int(20_000 * rnd.random() ** 3)] for _ in range(words)) for _ in range(60)]
+        b = []
+        for x in a:
+            w = x.split(" ")
+            for _ in range(rnd.randint(1, words // 4)):
+                i = rnd.randrange(len(w))
+                w[i : i + 1] = rnd.choice([["zz"], ["zz", w[i]], [w[i], "yy"], []])
+            b.append(" ".join(w))
+        own = line_dedup.Words("\n".join(a + b).encode())
+        lines = [line_dedup.Line(x.encode()) for x in a + b]
+        links = [(i, 60 + i) for i in range(60) if min(len(lines[i].words), len(lines[60 + i].words)) >= 4 and line_dedup.similar(lines[i], lines[60 + i], 0.8)]
+        assert links
+        counts = np.random.default_rng(8).poisson(3, line_dedup.COUNTERS).astype(float) ** 6
+        for order, share in ((np.zeros(1, np.uint8), None), (line_dedup.rarity(counts), line_dedup.shares(counts))):
+            sets = [{} for _ in lines]
+            for p, key, i in zip(*(x.tolist() for x in own.prefixes(order, 4, share))):
+                sets[p].setdefault(key, []).append(i)
+            for i, j in links:
+                n, m = sorted(((len(lines[z].words), z) for z in (i, j)))
+                both = [(np.array(u), np.array(v)) for key in sets[n[1]].keys() & sets[m[1]].keys() for u in sets[n[1]][key] for v in sets[m[1]][key]]
+                assert any(line_dedup._fitting(np.array(n[0]), np.array(m[0]), u, v, 0.8) for u, v in both), (words, a[i], b[j - 60])
