@@ -240,7 +240,7 @@ def _families(kind: Kind, docs: DataFrame, nodes: DataFrame, families: DataFrame
     return cut(payloads.groupBy("family", "x", "y").applyInPandas(partial(_exact_forest, kind), "a long, b long"), "links")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     joined = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
@@ -290,7 +290,7 @@ def _link(kind: Kind, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     links = verify(kind, docs, nodes, tested)
     comps = components(links)
 
-    rest = cut(_apart(likely.select("a", "b").join(tested, ["a", "b"], "left_anti"), comps).select("a", "b"), "rest")
+    rest = cut(apart(likely.select("a", "b").join(tested, ["a", "b"], "left_anti"), comps).select("a", "b"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(verify(kind, docs, nodes, rest))
         comps = components(links)
@@ -328,3 +328,15 @@ def components(links: DataFrame) -> DataFrame:
                 break
         comps = cut(comps.join(hooks.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
         edges = edges.join(hooks.toDF("a", "ta"), "a", "left").join(hooks.toDF("b", "tb"), "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+
+
+def united(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components when ``links`` (a, b) are added to those that ``comps`` come from; only labels are linked again. Both are cuts."""
+    ends = links.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+    labels = cut(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "labels")
+    if labels.isEmpty():
+        return comps
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(comps, "node", "left_anti")
+    every = comps.unionByName(ends.withColumn("comp", F.col("node")))
+    to = components(labels).toDF("comp", "to")
+    return cut(every.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")

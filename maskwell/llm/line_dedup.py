@@ -14,8 +14,9 @@ where its counter stands out. Counters of runs alone don't tell rare runs apart
 Blocks of SimHash bits can't do that: at this similarity a fifth of the bits differs, so that a block that is wide enough to tell
 lines apart is hardly ever equal.
 
-Of the pairs that meet those are verified that are near by SimHash, and those that are not but which the parities of their
-words can't rule out: each edit changes two of the PARITIES bits at most.
+Of the pairs that meet those are verified which the parities of their words can't rule out: each edit changes two of the
+PARITIES bits at most, so that no link is lost. SimHash says in which order: first one pair of each line, near ones before
+far ones, and of all others only those whose lines are not in one group by then.
 
 Keys travel as packed arrays. Up to SMALL lines of one key all pairs whose sizes and places allow a link leave the task; in larger
 groups a forest of the likely ones, and after that, among the lines of pairs that the forest left out, all likely pairs that
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, discard, give_back, map_batches, narrow_batches, parts, release, scratch, texts_of
-from ._linking import FILTER_BUCKETS, Roots, components
+from ._linking import FILTER_BUCKETS, Roots, apart, components, united
 from .near_dup import _mix, hashed_words
 from .quality import bind
 
@@ -66,8 +67,6 @@ STEP_CHARS = 400_000
 BLOB, HELD, PART = 5_000, 1 << 20, 1 << 23
 #: Lines of one key of which all pairs may be verified, and lines that are compared in one group.
 SMALL, BLOCK = 32, 2048
-#: Parts in which likely pairs are verified, one after the other.
-SLICES = 4
 _U = np.uint64
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], _U)
 _ODD = 0x9E3779B97F4A7C15
@@ -263,11 +262,21 @@ def _words(batches):
 def _line_rows(batches):
     """A row for each line that has words, and at the end the counters of all runs and words, in CHUNKS rows each."""
     counts = np.zeros((2, COUNTERS), np.uint32)
+    held: list[list[np.ndarray]] = [[], []]
+
+    def count():
+        for i, own in enumerate(held):
+            if own:
+                counts[i] += np.bincount(np.concatenate(own), minlength=COUNTERS).astype(np.uint32)
+            own.clear()
+
     for batch, a, b, texts, _, w in _words(batches):
         ids, marks = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
         missing = batch.column("doc_id").slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
-        for i, counted in enumerate((w.runs(2, w.sizes >= LEAST)[1], w.hashes)):
-            counts[i] += np.bincount((counted % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        for own, counted in zip(held, (w.runs(2, w.sizes >= LEAST)[1], w.hashes)):
+            own.append((counted % _U(COUNTERS)).astype(np.int64))
+        if sum(map(len, held[1])) > COUNTERS:
+            count()
         ends = np.cumsum([t.count(b"\n") + 1 for t in texts])
         doc = np.searchsorted(ends, w.lines, side="right")
         f1, f2 = w.fingerprints()
@@ -276,18 +285,21 @@ def _line_rows(batches):
             "doc_id": pa.array(ids[doc].astype(np.int64), mask=missing[doc]), "mark": pa.array(marks[doc]), "line": pa.array((w.lines - np.append(0, ends)[doc]).astype(np.int32)),
             "f1": pa.array(f1), "f2": pa.array(f2), "n": pa.array(w.sizes.astype(np.int32)), **{c: pa.array(sketches[:, i]) for i, c in enumerate(_SKETCH)},
         }, len(w.at))
+    count()
     if counts.any():
         yield _table(_LINES, {"chunk": pa.array(np.arange(2 * CHUNKS, dtype=np.int32)), "counts": pa.array([x.tobytes() for x in np.split(counts.ravel(), 2 * CHUNKS)], pa.binary())}, 2 * CHUNKS)
 
 
-def _payloads(min_words: int, batches):
-    """The nodes of lines and their normalised words."""
+def _payloads(min_words: int, wanted: np.ndarray, batches):
+    """The nodes of lines, their sizes and their normalised words, of nodes that fall into a bucket that is wanted (packed bits)."""
+    wanted = np.unpackbits(wanted).astype(bool)
     for _, _, _, _, raw, w in _words(batches):
         # a line's payload goes up to the next line that has words; what is between are blanks
         offsets = np.append(np.append(0, w.breaks + 1)[w.lines], len(raw)).astype(np.int32)
         payload = pa.Array.from_buffers(pa.binary(), len(w.at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
-        long = pa.array(w.sizes >= min_words)
-        yield pa.RecordBatch.from_arrays([pa.array(w.fingerprints(1)[0]).filter(long), payload.filter(long)], ["node", "payload"])
+        node = w.fingerprints(1)[0]
+        keep = pa.array((w.sizes >= min_words) & wanted[node & (FILTER_BUCKETS - 1)])
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (pa.array(node), pa.array(w.sizes.astype(np.int32)), payload)], ["node", "n", "payload"])
 
 
 def _summed(batches):
@@ -441,29 +453,50 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unlike(n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sketches rule a link out, ``n`` being the words of the longer line: far by SimHash, and by parities for certain."""
+    """Whether parities rule a link out for certain, ``n`` being the words of the longer line."""
     odd = np.bitwise_count(a[..., 2:] ^ b[..., 2:]).sum(axis=-1, dtype=np.int64)
-    return _far(a[..., :2], b[..., :2]) & (odd > 2 * edits(n, similarity))
+    return odd > 2 * edits(n, similarity)
+
+
+def _differing(names: list[str]) -> Column:
+    """In how many bits the sketches of two lines differ, in a row with both."""
+    return sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in names), F.lit(0))
 
 
 def _not_unlike(similarity: float) -> Column:
-    """The opposite for a row with the sketches of two lines, by native columns."""
-    bits = lambda names: sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in names), F.lit(0))
-    most = F.floor((1 - similarity) * F.greatest("x_n", "y_n") + 1e-9)
-    return (bits(_SKETCH[:2]) <= FAR) | (bits(_SKETCH[2:]) <= 2 * most)
+    """The opposite of _unlike() by native columns."""
+    return _differing(_SKETCH[2:]) <= 2 * F.floor((1 - similarity) * F.greatest("x_n", "y_n") + 1e-9)
+
+
+class _Lines:
+    """Lines of payloads, each prepared once it is asked for."""
+
+    def __init__(self, payloads: pd.Series):
+        self.payloads, self.known = payloads.tolist(), {}
+
+    def __getitem__(self, i: int) -> Line:
+        if i not in self.known:
+            self.known[i] = Line(self.payloads[i])
+        return self.known[i]
 
 
 def _blocks_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return rows["node"].to_numpy(), rows["n"].to_numpy(), rows[_SKETCH].to_numpy(np.int64).view(_U)
+    """Nodes, sizes and sketches; where rows have payloads these give the sketches."""
+    if "payload" in rows:
+        own = Words(b"\n".join(x.replace(b"\n", b" ") for x in rows["payload"]) + b"\n")
+        sketches = np.concatenate([own.simhashes(), own.parities()], axis=1)
+    else:
+        sketches = rows[_SKETCH].to_numpy(np.int64).view(_U)
+    return rows["node"].to_numpy(), rows["n"].to_numpy(), sketches
 
 
-def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Pairs of whole groups, sorted by key and n, of one side. Likely ones: all in small groups, a forest in larger ones, and
     (key, node, tree) of the likely pairs that the forest left out. If rows have payloads, a forest of the links between different
     components."""
     node, n, sims = _blocks_of(rows)
     exact = "payload" in rows
-    words = [Line(x) for x in rows["payload"]] if exact else []
+    words = _Lines(rows["payload"]) if exact else None
     small = np.zeros(len(node), bool) if exact else rows["m"].to_numpy() <= SMALL
     at = rows[["key", "x", "y"]].to_numpy()
     ends = np.append(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(at))
@@ -478,7 +511,8 @@ def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
         here = here[n[here] >= similarity * n[here + d] - 1e-9]  # partners only get longer
         test = here[label[root[here]] != label[root[here + d]]] if exact else here
         test = test[~_unlike(n[test + d], sims[test], sims[test + d], similarity)]
-        out.append((node[test[small[test]]], node[test[small[test]] + d], False))
+        own = test[small[test]]
+        out.append((node[own], node[own + d], _far(sims[own, :2], sims[own + d, :2]), False))
         if not exact:
             united = ~small[test] & (label[root[test]] == label[root[test + d]])
             flags += [test[united], test[united] + d]
@@ -493,7 +527,8 @@ def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
         if not exact:
             flags.append(np.array(skipped, np.int64))
         if kept:
-            out.append((node[kept], node[np.array(kept) + d], True))
+            own = np.array(kept)
+            out.append((node[own], node[own + d], _far(sims[own, :2], sims[own + d, :2]), True))
             label = forest.flat()
         d += 1
     own = np.unique(np.concatenate(flags or [np.zeros(0, np.int64)]))
@@ -504,12 +539,12 @@ def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
     return out, [(at[own, 0], node[own], tree)]
 
 
-def _across(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _across(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The same for two blocks of one large group."""
     exact, side, key = "payload" in rows, rows["side"].to_numpy(), rows["key"].iloc[0]
     left, right = rows[side == 0], rows[side == 1]
     (ia, na, a), (ib, nb, b) = _blocks_of(left), _blocks_of(right)
-    wa, wb = ([Line(x) for x in r["payload"]] if exact else [] for r in (left, right))
+    wa, wb = (_Lines(r["payload"]) if exact else None for r in (left, right))
     label = "comp" if exact else "node"
     ids, root = np.unique(np.concatenate([left[label].to_numpy(), right[label].to_numpy()]), return_inverse=True)
     forest, kept, flagged = Roots(len(ids)), [], set()
@@ -521,15 +556,15 @@ def _across(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
                 flagged |= {ia[i], ib[j]}
             elif not exact or similar(wa[i], wb[j], similarity):
                 forest.join(x, y)
-                kept.append((ia[i], ib[j]))
-    pairs = np.array(kept, np.int64).reshape(-1, 2)
+                kept.append((i, j))
+    i, j = np.array(kept, np.int64).reshape(-1, 2).T
     # whatever lies in two blocks has to be looked at again: a tree of one block may reach into another
-    flagged |= set(pairs.ravel().tolist())
-    return [(pairs[:, 0], pairs[:, 1], True)], [] if exact else [(np.full(len(flagged), key), np.array(sorted(flagged), np.int64), np.full(len(flagged), -1))]
+    flagged |= set(ia[i].tolist()) | set(ib[j].tolist())
+    return [(ia[i], ib[j], _far(a[i, :2], b[j, :2]), True)], [] if exact else [(np.full(len(flagged), key), np.array(sorted(flagged), np.int64), np.full(len(flagged), -1))]
 
 
 def _compared(similarity: float, batches):
-    """Pairs (a, b, forest) of groups that come one after the other, and (a, key, tree) of nodes whose likely pairs under that
+    """Pairs (a, b, far) of groups that come one after the other, and (a, key, tree) of nodes whose likely pairs under that
     key, all within a tree, are not all among them; a group may go on in the next batch."""
     def found(rows: pd.DataFrame):
         apart = rows["x"].to_numpy() != rows["y"].to_numpy()
@@ -539,16 +574,16 @@ def _compared(similarity: float, batches):
             pairs, flags = pairs + more, flags + more_flags
         if (~apart).any() and (rows["m"].to_numpy()[~apart] > BLOCK).any():  # of a group of several blocks, all its pairs
             own = rows[~apart & (rows["m"].to_numpy() > BLOCK)]
-            inside = np.concatenate([np.concatenate(p[:2]) for p in pairs if p[2]] or [np.zeros(0, np.int64)])
+            inside = np.concatenate([np.concatenate(p[:2]) for p in pairs if p[3]] or [np.zeros(0, np.int64)])
             own = own[np.isin(own["node"].to_numpy(), inside)]
             flags.append((own["key"].to_numpy(), own["node"].to_numpy(), np.full(len(own), -1)))
         none = np.zeros(0, np.int64)
         a, b = (np.concatenate([p[i] for p in pairs] or [none]) for i in (0, 1))
         keys, nodes, trees = (np.concatenate([f[i] for f in flags] or [none]) for i in (0, 1, 2))
-        forest = np.concatenate([np.full(len(p[0]), p[2]) for p in pairs] or [np.zeros(0, bool)])
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "forest": forest, "key": pd.array([None] * len(a), dtype="Int64"), "tree": pd.array([None] * len(a), dtype="Int64")})
+        far = np.concatenate([p[2] for p in pairs] or [np.zeros(0, bool)])
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "far": far, "key": pd.array([None] * len(a), dtype="Int64"), "tree": pd.array([None] * len(a), dtype="Int64")})
         if len(keys):
-            yield pd.DataFrame({"a": nodes, "b": pd.array([None] * len(nodes), dtype="Int64"), "forest": False, "key": keys, "tree": trees}).drop_duplicates(["a", "key", "tree"])
+            yield pd.DataFrame({"a": nodes, "b": pd.array([None] * len(nodes), dtype="Int64"), "far": False, "key": keys, "tree": trees}).drop_duplicates(["a", "key", "tree"])
 
     rest = None
     for pdf in batches:
@@ -564,7 +599,7 @@ def _compared(similarity: float, batches):
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes that share a key, out of rows of key, node, n, sketches and m, and payload and comp if links are meant. Groups
+    """Pairs of nodes that share a key, out of rows of key, node, n, m and sketches, or payload and comp in their place if links are meant. Groups
     of more than BLOCK nodes are compared block by block."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -577,11 +612,11 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     rest = [c for c in rows.columns if c != "key"]
     placed = rows.select("key", F.explode(places).alias("p"), *rest).select("key", "p.*", *rest)
     dealt = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "n", "node")
-    found = dealt.mapInPandas(partial(_compared, similarity), "a long, b long, forest boolean, key long, tree long")
-    return found.groupBy("a", "b", "key", "tree").agg(F.max("forest").alias("forest"))
+    found = dealt.mapInPandas(partial(_compared, similarity), "a long, b long, far boolean, key long, tree long")
+    return found.groupBy("a", "b", "key", "tree").agg(F.min("far").alias("far"))
 
 
-def _between(flagged: DataFrame, sketched: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float) -> DataFrame | None:
+def _between(flagged: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float) -> DataFrame | None:
     """What the forests of large groups hide: links between components among the flagged nodes of a key's tree, which is
     what ``key`` means here (None: none has two components)."""
     rows = flagged.join(comps, "node", "left")
@@ -590,13 +625,27 @@ def _between(flagged: DataFrame, sketched: DataFrame, texts: DataFrame, comps: D
     mixed = cut(mixed.filter("low <> high").select("key", "m"), "mixed")
     if mixed.isEmpty():
         return None
-    whole = rows.join(mixed, "key").join(sketched, "node").join(texts, "node")
+    whole = rows.join(mixed, "key").join(texts, "node")
     return cut(_pairs(whole, similarity).filter("b is not null").select("a", "b"), "between")
 
 
 def _verified(similarity: float, batch: pa.RecordBatch):
-    ok = [similar(Line(x), Line(y), similarity) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
-    yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "forest")] + [pa.array(ok)], ["a", "b", "forest", "linked"])
+    keep = pa.array([similar(Line(x), Line(y), similarity) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())], pa.bool_())
+    yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+
+def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are linked; ``pairs`` and ``texts`` are cuts. Where there are more pairs than texts they come
+    slice by slice, so that no more payloads than about twice the texts are on the disks at once."""
+    slices, links = 1 + pairs.count() // max(texts.count(), 1), None
+    for i in range(slices):
+        some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(slices)) == i) if slices > 1 else pairs
+        paired = some.join(texts.select(F.col("node").alias("a"), F.col("payload").alias("pa")), "a").join(texts.select(F.col("node").alias("b"), F.col("payload").alias("pb")), "b")
+        own = cut(map_batches(paired, partial(_verified, similarity), "a long, b long"), "links")
+        links = own if links is None else links.unionByName(own)
+        del paired, some
+        release(pairs.sparkSession)
+    return links
 
 
 def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -617,41 +666,37 @@ def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words:
     met = shared.filter("b is not null").select("a", "b").distinct()
     for side, end in (("x", "a"), ("y", "b")):
         met = met.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in ["n", *_SKETCH])), end)
-    met = cut(met.filter(_not_unlike(similarity)).select("a", "b", F.lit(False).alias("forest")), "met")
+    met = cut(met.filter(_not_unlike(similarity)).select("a", "b", (_differing(_SKETCH[:2]) > FAR).alias("far")), "met")
     release(spark)
     large = shared.filter("b is null").select("key", F.col("a").alias("node"), "m")
     compared = cut(_pairs(large.join(nodes, "node"), similarity), "pairs")
-    found = compared.filter("b is not null").groupBy("a", "b").agg(F.max("forest").alias("forest"))
-    pairs = cut(met.unionByName(found).groupBy("a", "b").agg(F.max("forest").alias("forest")), "likely")
+    found = compared.filter("b is not null").select("a", "b", "far")
+    pairs = cut(met.unionByName(found).distinct(), "likely")
     discard(shared)
     discard(met)
     del packed, large, found
-    flagged = compared.filter("b is null").select(F.xxhash64("key", "tree").alias("key"), F.col("a").alias("node"))
-    release(spark)
-    # only lines whose node falls into a wanted bucket are dealt out: the filter has FILTER_BUCKETS rows at most, so it is
-    # broadcast whatever the data; what it lets through beyond the wanted is one shuffle of all lines at most
+    # lines have many runs in common, so one tree comes under many keys: trees of one smallest node are one
+    whole = F.when(F.col("tree") != -1, F.xxhash64("tree")).otherwise(F.xxhash64("key", "tree"))
+    flagged = compared.filter("b is null").select(whole.alias("key"), F.col("a").alias("node")).distinct()
     release(spark)
+    # only lines whose node falls into a wanted bucket are dealt out: the filter has FILTER_BUCKETS bits, so it travels
+    # whatever the data; what it lets through beyond the wanted is one shuffle of all lines at most
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).alias("bucket")
-    own = docs.select("text").mapInArrow(partial(_payloads, min_words), "node long, payload binary")
-    near = own.withColumn("bucket", bucket("node")).join(F.broadcast(wanted.select(bucket("node")).distinct()), "bucket", "left_semi")
-    texts = cut(near.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload")), "texts")
-    del near, own
+    buckets = np.zeros(FILTER_BUCKETS, bool)
+    buckets[wanted.select(F.col("node").bitwiseAND(F.lit(FILTER_BUCKETS - 1).cast("long")).cast("int").alias("bucket")).distinct().toArrow().column(0).to_numpy()] = True
+    near = docs.select("text").mapInArrow(partial(_payloads, min_words, np.packbits(buckets)), "node long, n int, payload binary")
+    texts = cut(near.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("payload").alias("payload")), "texts")
+    del near, wanted
     release(spark)
-    # slice by slice, so that only a part of the payloads, which each pair has two of, is on the disks at once
-    tested = None
-    for i in range(SLICES):
-        some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == i)
-        paired = some.join(texts.toDF("a", "pa"), "a").join(texts.toDF("b", "pb"), "b")
-        own = cut(map_batches(paired, partial(_verified, similarity), "a long, b long, forest boolean, linked boolean"), "tested")
-        tested = own if tested is None else tested.unionByName(own)
-        del paired, some
-        release(spark)
-    links = tested.filter("linked").select("a", "b")
-    comps = components(links)
+    # one pair of each line, near ones first; then what is still in different groups
+    first = cut(pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "first")
+    comps = components(_links(first, texts, similarity))
+    rest = cut(apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps), "rest")
+    if not rest.isEmpty():
+        comps = united(comps, _links(rest, texts, similarity))
     release(spark)
-    more = _between(flagged, nodes, texts, comps, similarity)
-    return comps if more is None else components(links.unionByName(more))
+    more = _between(flagged, texts, comps, similarity)
+    return comps if more is None else united(comps, more)
 
 
 def _without(text: Column, drop: Column) -> Column:

@@ -592,3 +592,24 @@ def test_short_lines_always_meet_by_the_first_runs():
                 n, m = sorted(((len(lines[z].words), z) for z in (i, j)))
                 both = [(np.array(u), np.array(v)) for key in sets[n[1]].keys() & sets[m[1]].keys() for u in sets[n[1]][key] for v in sets[m[1]][key]]
                 assert any(line_dedup._fitting(np.array(n[0]), np.array(m[0]), u, v, 0.8) for u, v in both), (words, a[i], b[j - 60])
+
+
+def test_parities_rule_out_what_is_near_by_simhash():
+    rnd = random.Random(33)
+    a = [" ".join(rnd.choice(WIDE) for _ in range(40)) for _ in range(100)]
+    b = [spread(x, 14) for x in a]  # 8 edits are allowed
+    own = line_dedup.Words("\n".join(a + b).encode())
+    sketches = np.concatenate([own.simhashes(), own.parities()], axis=1)
+    x, y = sketches[:100], sketches[100:]
+    near = ~line_dedup._far(x[:, :2], y[:, :2])
+    assert near.sum() > 50  # all of these were verified before
+    assert line_dedup._unlike(np.maximum(own.sizes[:100], own.sizes[100:]), x, y, 0.8).mean() > 0.9
+
+
+def test_components_united_by_more_links(spark):
+    links = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (7, 8)], "a long, b long")
+    more = spark.createDataFrame([(2, 4), (4, 9), (10, 8), (5, 6)], "a long, b long")
+    comps = _linking.components(links)
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 5: 5, 6: 5, 7: 7, 8: 7, 10: 7}
+    assert {r.node: r.comp for r in _linking.united(comps, more).collect()} == want
+    assert {r.node: r.comp for r in _linking.united(comps, links).collect()} == {r.node: r.comp for r in comps.collect()}
