@@ -104,7 +104,7 @@ class Roots:
     def flat(self) -> np.ndarray:
         """The root of each."""
         up = np.array(self.up, np.int64)
-        while (far := up[up]).tolist() != up.tolist():
+        while not np.array_equal(far := up[up], up):
             up = far
         return up
 

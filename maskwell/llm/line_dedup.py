@@ -1,7 +1,7 @@
 """Fuzzy line deduplication over a whole corpus.
 
 Lines are normalised (lower case, ASCII punctuation as blanks, unspaced scripts as single characters) and equal ones become
-one node with a SimHash of BITS bits of its words. Two lines are linked from an edit similarity of SIMILARITY on: one minus
+one node with parities of its words. Two lines are linked from an edit similarity of SIMILARITY on: one minus
 the edits of words over the words of the longer line. Each connected group keeps its first occurrence, by document id and
 line; all others are removed from their texts.
 
@@ -15,8 +15,8 @@ Blocks of SimHash bits can't do that: at this similarity a fifth of the bits dif
 lines apart is hardly ever equal.
 
 Of the pairs that meet those are verified which the parities of their words can't rule out: each edit changes two of the
-PARITIES bits at most, so that no link is lost. SimHash says in which order: first one pair of each line, near ones before
-far ones, and of all others only those whose lines are not in one group by then.
+PARITIES bits at most, so that no link is lost. A SimHash of BITS bits says in which order: first the nearest pair of each line,
+and of all others only those whose lines are not in one group by then.
 
 Keys travel as packed arrays. Up to SMALL lines of one key all pairs whose sizes and places allow a link leave the task; in larger
 groups a forest of the likely ones, and after that, among the lines of pairs that the forest left out, all likely pairs that
@@ -25,6 +25,7 @@ are still in different components.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from functools import partial
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._common import cut, discard, give_back, map_batches, narrow_batches, parts, release, scratch, texts_of
 from ._linking import FILTER_BUCKETS, Roots, apart, components, united
-from .near_dup import _mix, hashed_words
+from .near_dup import _mix
 from .quality import bind
 
 #: Shorter lines are similar by chance: only equal ones may be one group.
@@ -70,9 +71,14 @@ SMALL, BLOCK = 32, 2048
 _U = np.uint64
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], _U)
 _ODD = 0x9E3779B97F4A7C15
+#: Longer words are hashed one by one, shorter ones eight bytes at a time for all words at once.
+_LONG = 64
+#: What is left of eight bytes for a word of so many.
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 _BLANK = bytes(32 if 32 < c < 127 and not chr(c).isalnum() else c for c in range(256))
 _LOWER = _BLANK.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+_LATIN_LOWER = _LOWER[:128] + bytes(range(128, 256)).decode("latin-1").lower().encode("latin-1")
 
 #: Each byte's bits as eight counters of one byte, the highest bit first.
 _COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(_U).ravel()
@@ -83,9 +89,12 @@ _UNSPACED = re.compile("([฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-
 
 def normalised(text: str) -> bytes:
     """The text with the same \\n-split lines, words in lower case and between blanks."""
-    if not text.isascii():
-        text = _UNSPACED.sub(r" \1 ", text).lower()
-    return text.encode(errors="replace").translate(_LOWER)
+    if text.isascii():
+        return text.encode().translate(_LOWER)
+    try:  # Latin-1 has one byte a character, and no unspaced script
+        return text.encode("latin-1").translate(_LATIN_LOWER).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return _UNSPACED.sub(r" \1 ", text).lower().encode(errors="replace").translate(_LOWER)
 
 
 def edits(n, similarity: float):
@@ -127,36 +136,99 @@ def edit_distance(a: list, b: list, limit: int) -> int:
 class Line:
     """The words of a line, prepared for comparisons."""
 
-    __slots__ = ("words", "distinct", "repeats")
+    __slots__ = ("words", "_distinct")
 
     def __init__(self, payload: bytes):
-        self.words = payload.split()
-        self.distinct = set(self.words)
-        self.repeats = len(self.words) - len(self.distinct)
+        self.words, self._distinct = payload.split(), None
+
+    @property
+    def distinct(self) -> set[bytes]:
+        if self._distinct is None:
+            self._distinct = set(self.words)
+        return self._distinct
+
+    @property
+    def repeats(self) -> int:
+        return len(self.words) - len(self.distinct)
+
+
+def _few_edits(a: list, b: list, most: int) -> bool:
+    """Whether one pass from left to right turns ``a`` into ``b`` by ``most`` edits: if so they are no further apart."""
+    n, m, i, j, spent = len(a), len(b), 0, 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        spent += 1
+        if spent > most:
+            return False
+        if i + 1 < n and a[i + 1] == b[j] and not (j + 1 < m and a[i + 1] == b[j + 1]):
+            i += 1
+        elif j + 1 < m and a[i] == b[j + 1] and not (i + 1 < n and a[i + 1] == b[j + 1]):
+            j += 1
+        else:
+            i, j = i + 1, j + 1
+    return spent + n - i + m - j <= most
 
 
 def similar(a: Line, b: Line, similarity: float) -> bool:
     """Whether two lines are linked."""
     longest = max(len(a.words), len(b.words))
     most = int((1 - similarity) * longest + 1e-9)
+    if abs(len(a.words) - len(b.words)) > most:
+        return False
+    # most of those that meet are linked, and that is seen at once
+    if len(a.words) == len(b.words) and sum(map(bytes.__ne__, a.words, b.words)) <= most or _few_edits(a.words, b.words, most):
+        return True
     # words in common, at most: distinct ones, and repeats on both sides
     if len(a.distinct & b.distinct) + min(a.repeats, b.repeats) < longest - most:
         return False
-    if len(a.words) == len(b.words) and sum(map(bytes.__ne__, a.words, b.words)) <= most:
-        return True
     return (Counter(a.words) & Counter(b.words)).total() >= longest - most and edit_distance(a.words, b.words, most) <= most
 
 
+def _hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in some bytes, where each starts, and the places of line feeds. Words are runs without blank,
+    tab, line feed, vertical tab, form feed and carriage return. Work follows the words and not their bytes."""
+    data = np.frombuffer(raw, np.uint8)
+    word = np.zeros(len(data) + 2, bool)
+    np.logical_and(data != 32, data - np.uint8(9) > 4, out=word[1:-1])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    aligned = np.frombuffer(raw + bytes(24 - len(raw) % 8), "<u8")
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Eight bytes from each place on, zeros for those beyond what is left of the word."""
+        own, shift = at >> 3, (at & 7).astype(_U) << _U(3)
+        return (aligned[own] >> shift | aligned[own + 1] << _U(1) << (_U(63) - shift)) & _BYTES[np.minimum(left, 8)]
+
+    hashes = _mix(eight(starts, sizes) + sizes.astype(_U) * _U(_ODD))
+    here = np.flatnonzero(sizes > 8)
+    for i in here[sizes[here] > _LONG].tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
+    here = here[sizes[here] <= _LONG]
+    done = 8
+    while len(here):
+        hashes[here] = _mix(hashes[here] * _U(_ODD) + eight(starts[here] + done, sizes[here] - done))
+        done += 8
+        here = here[sizes[here] > done]
+    return hashes, starts, np.flatnonzero(data == 10)
+
+
+def _counter(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` counters each hash falls to."""
+    return (hashes & _U(n - 1) if n & (n - 1) == 0 else hashes % _U(n)).astype(np.int64)
+
+
 class Words:
     """The words of normalised texts: 64-bit hashes, and line by line where they start. Lines without words are left out."""
 
     def __init__(self, raw: bytes):
-        data = np.frombuffer(raw, np.uint8)
-        self.hashes, starts = hashed_words(data)
-        self.breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(self.breaks, starts)
-        self.lines, self.at, self.sizes = np.unique(line, return_index=True, return_counts=True)
-        self.place = np.arange(len(line)) - np.repeat(self.at, self.sizes)
+        self.hashes, starts, self.breaks = _hashed_words(raw)
+        sizes = np.diff(np.searchsorted(starts, self.breaks), prepend=0, append=len(starts))
+        self.lines = np.flatnonzero(sizes)
+        self.sizes = sizes[self.lines]
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(len(starts)) - np.repeat(self.at, self.sizes)
 
     def fingerprints(self, number: int = 2) -> tuple[np.ndarray, ...]:
         """Two 64-bit hashes of each line's words in their order, or the first one."""
@@ -193,9 +265,11 @@ class Words:
         return line, self._hashed(k, own)
 
     def _starts(self, k: int, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        line = np.repeat(np.arange(len(self.at)), self.sizes)
-        own = np.flatnonzero(fits[line] & (self.place + k <= self.sizes[line]))
-        return own, line[own]
+        start = np.repeat(fits, self.sizes)
+        for i in range(k - 1):  # none starts at the last words of a line
+            start[(self.at + self.sizes - 1 - i)[self.sizes > i]] = False
+        own = np.flatnonzero(start)
+        return own, np.repeat(np.arange(len(self.at)), self.sizes)[own]
 
     def _hashed(self, k: int, own: np.ndarray) -> np.ndarray:
         key = np.full(len(own), k, _U)
@@ -207,21 +281,32 @@ class Words:
         """Places of the lines of LEAST words or more, and the runs of two words that each needs: more than 0.4 n of them,
         the first in the order of all runs, and where they stand in their line. ``words`` has the shares of words in a run's
         rank, by their hash."""
-        own, line = self._starts(2, self.sizes >= max(LEAST, min_words))
+        fits = self.sizes >= max(LEAST, min_words)
+        own, line = self._starts(2, fits)
+        if not len(own):
+            return line, self.hashes[:0], line
         key = self._hashed(2, own)
-        rank = rarity[(key % _U(len(rarity))).astype(np.int64)]
+        rank = rarity[_counter(key, len(rarity))]
         if words is not None:
-            share = words[(self.hashes % _U(len(words))).astype(np.int64)]
+            share = words[_counter(self.hashes, len(words))]
             rank = np.maximum(rank, np.clip(share[own] + share[own + 1], 0, 255).astype(np.uint8))
-        at = line.astype(_U) << _U(40) | rank.astype(_U) << _U(32) | key >> _U(32)
-        order = np.argsort(at)
-        line, at = line[order], at[order]
-        first = np.searchsorted(line, line)
+        # line, rank, bits of the key and place in one number: sorting numbers takes half the time of sorting places by them.
+        # Fewer bits of the key only make more runs tie, and those that tie are all kept, so the order is one for all lines
+        low = len(own).bit_length()
+        bits = min(32, 56 - low - len(self.at).bit_length())
+        at = ((line.astype(_U) << _U(8) | rank) << _U(max(bits, 0))) | key >> _U(64 - max(bits, 1))
+        if bits >= 12:
+            at = np.sort(at << _U(low) | np.arange(len(own), dtype=_U))
+            order, at = (at & _U((1 << low) - 1)).astype(np.int64), at >> _U(low)
+        else:
+            at = line.astype(_U) << _U(40) | rank.astype(_U) << _U(32) | key >> _U(32)
+            order = np.argsort(at)
+            at = at[order]
         # runs that tie with the last one belong to it
-        last = at[np.minimum(first + 2 * self.sizes[line] // 5, len(line) - 1)] if len(line) else at
-        keep = at <= last
-        order = order[keep]
-        return line[keep], _mix(key[order] ^ _SALT[0]), self.place[own[order]]
+        sizes = self.sizes[fits]
+        last = at[np.cumsum(sizes - 1) - (sizes - 1) + 2 * sizes // 5]
+        order = order[at <= np.repeat(last, sizes - 1)]
+        return line[order], _mix(key[order] ^ _SALT[0]), self.place[own[order]]
 
     def keys(self, ranks: np.ndarray, min_words: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the lines (of up to ``longest`` words), and a key for each: RUNS runs by hash, frequent ones last."""
@@ -229,7 +314,7 @@ class Words:
         most = self.sizes.max(initial=0) if longest is None else longest
         for k, fits in ((RUN, (self.sizes >= max(RUN, min_words)) & (self.sizes <= most)), (2, (self.sizes >= max(2, min_words)) & (self.sizes <= RUN + 2))):
             line, key = self.runs(k, fits)
-            rank = ranks[(key % _U(len(ranks))).astype(np.int64)]
+            rank = ranks[_counter(key, len(ranks))]
             order = np.argsort(line.astype(_U) << _U(40) | rank.astype(_U) << _U(32) | key >> _U(32))
             line = line[order]
             keep = np.arange(len(line)) - np.searchsorted(line, line) < RUNS
@@ -238,9 +323,9 @@ class Words:
         return np.concatenate(places), np.concatenate(keys)
 
 
-_LINES = [("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
-#: The sketches of a line: SimHash and parities.
-_SKETCH = ["s0", "s1", "p0", "p1", "p2", "p3"]
+_LINES = [("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
+#: The parities of a line, and its SimHash, which only lines of pairs have.
+_SKETCH, _SIMHASH = ["p0", "p1", "p2", "p3"], ["s0", "s1"]
 
 
 def _table(fields: list, columns: dict, rows: int) -> pa.RecordBatch:
@@ -274,13 +359,13 @@ def _line_rows(batches):
         ids, marks = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
         missing = batch.column("doc_id").slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
         for own, counted in zip(held, (w.runs(2, w.sizes >= LEAST)[1], w.hashes)):
-            own.append((counted % _U(COUNTERS)).astype(np.int64))
-        if sum(map(len, held[1])) > COUNTERS:
+            own.append(_counter(counted, COUNTERS))
+        if sum(map(len, held[1])) > 2 * COUNTERS:
             count()
         ends = np.cumsum([t.count(b"\n") + 1 for t in texts])
         doc = np.searchsorted(ends, w.lines, side="right")
         f1, f2 = w.fingerprints()
-        sketches = np.concatenate([w.simhashes(), w.parities()], axis=1).view(np.int64)
+        sketches = w.parities().view(np.int64)
         yield _table(_LINES, {
             "doc_id": pa.array(ids[doc].astype(np.int64), mask=missing[doc]), "mark": pa.array(marks[doc]), "line": pa.array((w.lines - np.append(0, ends)[doc]).astype(np.int32)),
             "f1": pa.array(f1), "f2": pa.array(f2), "n": pa.array(w.sizes.astype(np.int32)), **{c: pa.array(sketches[:, i]) for i, c in enumerate(_SKETCH)},
@@ -302,6 +387,12 @@ def _payloads(min_words: int, wanted: np.ndarray, batches):
         yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (pa.array(node), pa.array(w.sizes.astype(np.int32)), payload)], ["node", "n", "payload"])
 
 
+def _sketched(batch: pa.RecordBatch):
+    """The nodes with the SimHash of their payloads."""
+    sims = Words(b"\n".join(x.replace(b"\n", b" ") for x in batch.column("payload").to_pylist()) + b"\n").simhashes().view(np.int64)
+    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sims[:, 0]), pa.array(sims[:, 1])], [*batch.schema.names, *_SIMHASH])
+
+
 def _summed(batches):
     """The sum of each chunk's counters; rows are sorted by chunk."""
     now, total = None, None
@@ -366,9 +457,12 @@ def _packed(order_of: np.ndarray, of_words: np.ndarray, min_words: int, n_parts:
     def sent():
         keys, nodes, sizes, at = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        part = (keys >> _U(32)) % _U(n_parts)
-        order = np.argsort(part << _U(32) | keys & _U(0xFFFFFFFF))
-        keys, nodes, sizes, at, part = keys[order].astype("<u4"), nodes[order], sizes[order].astype("<u2"), at[order].astype("<u2"), part[order]
+        both = sizes.astype("<u4") << np.uint32(16) | at.astype("<u4")
+        part = ((keys >> _U(32)).astype(np.uint32) % np.uint32(n_parts)).astype(_U)
+        low = len(keys).bit_length()  # the lowest bits of a key give way to its place: order within a part only serves compression
+        order = (np.sort((part << _U(32) | keys & _U(0xFFFFFFFF)) >> _U(max(0, low + n_parts.bit_length() - 32)) << _U(low) | np.arange(len(keys), dtype=_U)) & _U((1 << low) - 1)).astype(np.int64)
+        keys, nodes, both, part = keys.astype("<u4")[order], nodes[order], both[order], part.astype(np.int32)[order]
+        sizes, at = (both >> np.uint32(16)).astype("<u2"), both.astype("<u2")
         ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)).tolist()
         places = [(x, min(x + BLOB, j)) for i, j in zip([0, *ends], ends) for x in range(i, j, BLOB)]
         blobs = [_blob(keys[a:b], nodes[a:b], sizes[a:b], at[a:b]) for a, b in places]
@@ -391,6 +485,11 @@ def _fitting(n, m, i, j, similarity: float) -> np.ndarray:
     return ~known | (np.abs(i - j) + np.abs((n - i) - (m - j)) <= edits(m, similarity))
 
 
+def _sorted_places(keys: np.ndarray) -> np.ndarray:
+    """The places of 32-bit keys in the order of these; sorting numbers that hold both takes a fraction of an argsort()."""
+    return (np.sort(keys.astype(_U) << _U(32) | np.arange(len(keys), dtype=_U)) & _U(0xFFFFFFFF)).astype(np.int64)
+
+
 def _shared(similarity: float, batches):
     """Of sorted parts, what meets by a key. Rows (a, b) of nodes whose sizes and places allow a link, and for a key of more than
     SMALL rows its nodes, as rows (a, key, m) with the number of them."""
@@ -398,12 +497,17 @@ def _shared(similarity: float, batches):
 
     def met():
         keys, nodes, sizes, at = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(keys)
+        order = _sorted_places(keys)
         keys = keys[order]
         same = keys[1:] == keys[:-1]
         keep = np.append(same, False) | np.append(False, same)
         order, keys = order[keep], keys[keep]
         nodes, sizes, at = nodes[order], sizes[order].astype(np.int64), at[order].astype(np.int64)
+        # copies of a line count once; what stands between two of them by chance only leaves one in
+        order = np.argsort(keys.astype(_U) << _U(32) | _mix(nodes.view(_U) + at.astype(_U) * _U(_ODD)) >> _U(32))
+        keys, nodes, sizes, at = keys[order], nodes[order], sizes[order], at[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]) | (at[1:] != at[:-1]))[: len(keys)]
+        keys, nodes, sizes, at = keys[new], nodes[new], sizes[new], at[new]
         order = np.argsort(keys.astype(np.int64) << 16 | sizes)
         keys, nodes, sizes, at = keys[order], nodes[order], sizes[order], at[order]
         ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))[: len(keys)]
@@ -419,7 +523,7 @@ def _shared(similarity: float, batches):
             b.append(np.maximum(nodes[own], nodes[own + d]))
             d += 1
         a, b = np.concatenate(a), np.concatenate(b)
-        order = np.lexsort((b, a))
+        order = np.argsort(_mix(a.view(_U) * _U(_ODD) + b.view(_U)))
         a, b = a[order], b[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
         yield _meeting(a[new], b[new], None, None)
@@ -453,8 +557,8 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unlike(n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether parities rule a link out for certain, ``n`` being the words of the longer line."""
-    odd = np.bitwise_count(a[..., 2:] ^ b[..., 2:]).sum(axis=-1, dtype=np.int64)
+    """Whether parities, the last columns, rule a link out for certain, ``n`` being the words of the longer line."""
+    odd = np.bitwise_count(a[..., -len(_SKETCH) :] ^ b[..., -len(_SKETCH) :]).sum(axis=-1, dtype=np.int64)
     return odd > 2 * edits(n, similarity)
 
 
@@ -465,7 +569,7 @@ def _differing(names: list[str]) -> Column:
 
 def _not_unlike(similarity: float) -> Column:
     """The opposite of _unlike() by native columns."""
-    return _differing(_SKETCH[2:]) <= 2 * F.floor((1 - similarity) * F.greatest("x_n", "y_n") + 1e-9)
+    return _differing(_SKETCH) <= 2 * F.floor((1 - similarity) * F.greatest("x_n", "y_n") + 1e-9)
 
 
 class _Lines:
@@ -481,16 +585,15 @@ class _Lines:
 
 
 def _blocks_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, sizes and sketches; where rows have payloads these give the sketches."""
+    """Nodes, sizes and parities; where rows have payloads these give the parities."""
     if "payload" in rows:
-        own = Words(b"\n".join(x.replace(b"\n", b" ") for x in rows["payload"]) + b"\n")
-        sketches = np.concatenate([own.simhashes(), own.parities()], axis=1)
+        sketches = Words(b"\n".join(x.replace(b"\n", b" ") for x in rows["payload"]) + b"\n").parities()
     else:
         sketches = rows[_SKETCH].to_numpy(np.int64).view(_U)
     return rows["node"].to_numpy(), rows["n"].to_numpy(), sketches
 
 
-def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Pairs of whole groups, sorted by key and n, of one side. Likely ones: all in small groups, a forest in larger ones, and
     (key, node, tree) of the likely pairs that the forest left out. If rows have payloads, a forest of the links between different
     components."""
@@ -512,7 +615,7 @@ def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
         test = here[label[root[here]] != label[root[here + d]]] if exact else here
         test = test[~_unlike(n[test + d], sims[test], sims[test + d], similarity)]
         own = test[small[test]]
-        out.append((node[own], node[own + d], _far(sims[own, :2], sims[own + d, :2]), False))
+        out.append((node[own], node[own + d], False))
         if not exact:
             united = ~small[test] & (label[root[test]] == label[root[test + d]])
             flags += [test[united], test[united] + d]
@@ -528,7 +631,7 @@ def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
             flags.append(np.array(skipped, np.int64))
         if kept:
             own = np.array(kept)
-            out.append((node[own], node[own + d], _far(sims[own, :2], sims[own + d, :2]), True))
+            out.append((node[own], node[own + d], True))
             label = forest.flat()
         d += 1
     own = np.unique(np.concatenate(flags or [np.zeros(0, np.int64)]))
@@ -539,7 +642,7 @@ def _within(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
     return out, [(at[own, 0], node[own], tree)]
 
 
-def _across(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _across(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarray, np.ndarray, bool]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The same for two blocks of one large group."""
     exact, side, key = "payload" in rows, rows["side"].to_numpy(), rows["key"].iloc[0]
     left, right = rows[side == 0], rows[side == 1]
@@ -560,11 +663,11 @@ def _across(rows: pd.DataFrame, similarity: float) -> tuple[list[tuple[np.ndarra
     i, j = np.array(kept, np.int64).reshape(-1, 2).T
     # whatever lies in two blocks has to be looked at again: a tree of one block may reach into another
     flagged |= set(ia[i].tolist()) | set(ib[j].tolist())
-    return [(ia[i], ib[j], _far(a[i, :2], b[j, :2]), True)], [] if exact else [(np.full(len(flagged), key), np.array(sorted(flagged), np.int64), np.full(len(flagged), -1))]
+    return [(ia[i], ib[j], True)], [] if exact else [(np.full(len(flagged), key), np.array(sorted(flagged), np.int64), np.full(len(flagged), -1))]
 
 
 def _compared(similarity: float, batches):
-    """Pairs (a, b, far) of groups that come one after the other, and (a, key, tree) of nodes whose likely pairs under that
+    """Pairs (a, b) of groups that come one after the other, and (a, key, tree) of nodes whose likely pairs under that
     key, all within a tree, are not all among them; a group may go on in the next batch."""
     def found(rows: pd.DataFrame):
         apart = rows["x"].to_numpy() != rows["y"].to_numpy()
@@ -574,16 +677,15 @@ def _compared(similarity: float, batches):
             pairs, flags = pairs + more, flags + more_flags
         if (~apart).any() and (rows["m"].to_numpy()[~apart] > BLOCK).any():  # of a group of several blocks, all its pairs
             own = rows[~apart & (rows["m"].to_numpy() > BLOCK)]
-            inside = np.concatenate([np.concatenate(p[:2]) for p in pairs if p[3]] or [np.zeros(0, np.int64)])
+            inside = np.concatenate([np.concatenate(p[:2]) for p in pairs if p[2]] or [np.zeros(0, np.int64)])
             own = own[np.isin(own["node"].to_numpy(), inside)]
             flags.append((own["key"].to_numpy(), own["node"].to_numpy(), np.full(len(own), -1)))
         none = np.zeros(0, np.int64)
         a, b = (np.concatenate([p[i] for p in pairs] or [none]) for i in (0, 1))
         keys, nodes, trees = (np.concatenate([f[i] for f in flags] or [none]) for i in (0, 1, 2))
-        far = np.concatenate([p[2] for p in pairs] or [np.zeros(0, bool)])
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "far": far, "key": pd.array([None] * len(a), dtype="Int64"), "tree": pd.array([None] * len(a), dtype="Int64")})
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "key": pd.array([None] * len(a), dtype="Int64"), "tree": pd.array([None] * len(a), dtype="Int64")})
         if len(keys):
-            yield pd.DataFrame({"a": nodes, "b": pd.array([None] * len(nodes), dtype="Int64"), "far": False, "key": keys, "tree": trees}).drop_duplicates(["a", "key", "tree"])
+            yield pd.DataFrame({"a": nodes, "b": pd.array([None] * len(nodes), dtype="Int64"), "key": keys, "tree": trees}).drop_duplicates(["a", "key", "tree"])
 
     rest = None
     for pdf in batches:
@@ -612,8 +714,8 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     rest = [c for c in rows.columns if c != "key"]
     placed = rows.select("key", F.explode(places).alias("p"), *rest).select("key", "p.*", *rest)
     dealt = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "n", "node")
-    found = dealt.mapInPandas(partial(_compared, similarity), "a long, b long, far boolean, key long, tree long")
-    return found.groupBy("a", "b", "key", "tree").agg(F.min("far").alias("far"))
+    found = dealt.mapInPandas(partial(_compared, similarity), "a long, b long, key long, tree long")
+    return found.distinct()
 
 
 def _between(flagged: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float) -> DataFrame | None:
@@ -625,12 +727,14 @@ def _between(flagged: DataFrame, texts: DataFrame, comps: DataFrame, similarity:
     mixed = cut(mixed.filter("low <> high").select("key", "m"), "mixed")
     if mixed.isEmpty():
         return None
-    whole = rows.join(mixed, "key").join(texts, "node")
+    whole = rows.join(mixed, "key").join(texts.select("node", "n", "payload"), "node")
     return cut(_pairs(whole, similarity).filter("b is not null").select("a", "b"), "between")
 
 
 def _verified(similarity: float, batch: pa.RecordBatch):
-    keep = pa.array([similar(Line(x), Line(y), similarity) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())], pa.bool_())
+    left, right = (batch.column(c).to_pylist() for c in ("pa", "pb"))
+    lines = {x: Line(x) for x in {*left, *right}}
+    keep = pa.array([similar(lines[x], lines[y], similarity) for x, y in zip(left, right)], pa.bool_())
     yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
 
@@ -640,7 +744,7 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     slices, links = 1 + pairs.count() // max(texts.count(), 1), None
     for i in range(slices):
         some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(slices)) == i) if slices > 1 else pairs
-        paired = some.join(texts.select(F.col("node").alias("a"), F.col("payload").alias("pa")), "a").join(texts.select(F.col("node").alias("b"), F.col("payload").alias("pb")), "b")
+        paired = some.join(texts.select(F.col("node").alias("a"), F.col("payload").alias("pa")).hint("shuffle_hash"), "a").join(texts.select(F.col("node").alias("b"), F.col("payload").alias("pb")).hint("shuffle_hash"), "b")
         own = cut(map_batches(paired, partial(_verified, similarity), "a long, b long"), "links")
         links = own if links is None else links.unionByName(own)
         del paired, some
@@ -651,26 +755,25 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """(node, comp) of every node that is linked with another; comp is the smallest node of its group.
 
-    ``docs``: text, read twice. ``lines``: the counters of its runs; deleted once it has been read. ``nodes``: node, n, sketches. The latter two are cuts.
+    ``docs``: text, read twice. ``lines``: the counters of its runs. ``nodes``: node, n, sketches. The latter two are cuts.
     """
     spark = lines.sparkSession
     release(spark)
     n_keys = nodes.select(F.sum(F.col("n") * 0.4 + 1)).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // PART))
     runs, words = _counts(lines)
-    discard(lines)
     packed = docs.select("text").mapInArrow(partial(_packed, rarity(runs), shares(words), min_words, n_parts), "part int, blob binary")
     shared = cut(packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(partial(_shared, similarity), "a long, b long, key long, m long"), "shared")
     release(spark)
     # pairs of small groups come once each, before anything is joined
     met = shared.filter("b is not null").select("a", "b").distinct()
     for side, end in (("x", "a"), ("y", "b")):
-        met = met.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in ["n", *_SKETCH])), end)
-    met = cut(met.filter(_not_unlike(similarity)).select("a", "b", (_differing(_SKETCH[:2]) > FAR).alias("far")), "met")
+        met = met.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in ["n", *_SKETCH])).hint("shuffle_hash"), end)
+    met = cut(met.filter(_not_unlike(similarity)).select("a", "b"), "met")
     release(spark)
     large = shared.filter("b is null").select("key", F.col("a").alias("node"), "m")
-    compared = cut(_pairs(large.join(nodes, "node"), similarity), "pairs")
-    found = compared.filter("b is not null").select("a", "b", "far")
+    compared = cut(_pairs(large.join(nodes.hint("shuffle_hash"), "node"), similarity), "pairs")
+    found = compared.filter("b is not null").select("a", "b")
     pairs = cut(met.unionByName(found).distinct(), "likely")
     discard(shared)
     discard(met)
@@ -685,11 +788,16 @@ def linked_lines(docs: DataFrame, lines: DataFrame, nodes: DataFrame, min_words:
     buckets = np.zeros(FILTER_BUCKETS, bool)
     buckets[wanted.select(F.col("node").bitwiseAND(F.lit(FILTER_BUCKETS - 1).cast("long")).cast("int").alias("bucket")).distinct().toArrow().column(0).to_numpy()] = True
     near = docs.select("text").mapInArrow(partial(_payloads, min_words, np.packbits(buckets)), "node long, n int, payload binary")
-    texts = cut(near.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("payload").alias("payload")), "texts")
+    near = near.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
+    texts = cut(map_batches(near, _sketched, "node long, n int, payload binary, s0 long, s1 long"), "texts")
     del near, wanted
     release(spark)
-    # one pair of each line, near ones first; then what is still in different groups
-    first = cut(pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "first")
+    # the nearest pair of each line by SimHash; then what is still in different groups
+    ordered = pairs
+    for side, end in (("x", "a"), ("y", "b")):
+        ordered = ordered.join(texts.select(F.col("node").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in _SIMHASH)).hint("shuffle_hash"), end)
+    ordered = ordered.select("a", "b", _differing(_SIMHASH).alias("far"))
+    first = cut(ordered.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "first")
     comps = components(_links(first, texts, similarity))
     rest = cut(apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps), "rest")
     if not rest.isEmpty():
@@ -715,19 +823,20 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float
     narrow_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    schema = "doc_id long, mark long, line int, f1 long, f2 long, n int, s0 long, s1 long, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
+    schema = "doc_id long, mark long, line int, f1 long, f2 long, n int, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
     lines = cut(marked.mapInArrow(_line_rows, schema), "lines", compression="zstd")
     exact_words = min_words if exact_words is None else exact_words
-    found = cut(lines.filter(F.col("n") >= exact_words).select("doc_id", "mark", "line", "f1", "f2"), "found", compression="zstd")
+    found = lines.filter(F.col("n") >= exact_words).select("doc_id", "mark", "line", "f1", "f2")
     first = F.min(F.struct("doc_id", "mark", "line")).alias("first")
     groups = cut(lines.filter(F.col("n") >= exact_words).groupBy("f1", "f2").agg(first, F.min("n").alias("n"), *(F.min(c).alias(c) for c in _SKETCH), F.count(F.lit(1)).alias("times")), "groups")
     comps = linked_lines(marked, lines, groups.filter(F.col("n") >= min_words).select(F.col("f1").alias("node"), "n", *_SKETCH), min_words, similarity)
-    grouped = groups.select(F.col("f1").alias("node"), "f1", "f2", "first", "times").join(comps, "node", "left")
+    grouped = groups.select(F.col("f1").alias("node"), "f1", "f2", "first", "times").join(comps.hint("shuffle_hash"), "node", "left")
+    grouped = cut(grouped.filter("comp is not null or times > 1").select("f1", "f2", "first", "comp"), "grouped")
     leaders = cut(grouped.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("leader")), "leaders")
-    many = grouped.join(leaders, "comp", "left").filter("comp is not null or times > 1")
+    many = grouped.join(leaders.hint("shuffle_hash"), "comp", "left")
     many = cut(many.select("f1", "f2", F.coalesce("leader", "first").alias("leader")), "many")
     release(df.sparkSession)
-    extra = found.join(many, ["f1", "f2"]).filter(~F.struct("doc_id", "mark", "line").eqNullSafe(F.col("leader")))
+    extra = found.join(many.hint("shuffle_hash"), ["f1", "f2"]).filter(~F.struct("doc_id", "mark", "line").eqNullSafe(F.col("leader")))
     return extra.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
 
@@ -750,6 +859,6 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float = S
     drops = drops.toDF(own_id, own_mark, own_drop)
     text = F.col(text_col).cast("string")
     on = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_mark))
-    joined = df.join(drops, on, "left").withColumn(own_drop, F.coalesce(own_drop, F.array().cast("array<int>")))
-    counted = joined.withColumn("_n_lines", F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")).withColumn("_n_removed", F.size(own_drop).cast("long"))
+    joined = df.join(drops.hint("shuffle_hash"), on, "left").withColumn(own_drop, F.coalesce(own_drop, F.array().cast("array<int>")))
+    counted = joined.withColumn("_n_lines", F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long")).withColumn("_n_removed", F.size(own_drop).cast("long"))
     return counted.withColumn(text_col, _without(text, F.col(own_drop))).drop(own_id, own_mark, own_drop)

@@ -613,3 +613,37 @@ def test_components_united_by_more_links(spark):
     want = {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 5: 5, 6: 5, 7: 7, 8: 7, 10: 7}
     assert {r.node: r.comp for r in _linking.united(comps, more).collect()} == want
     assert {r.node: r.comp for r in _linking.united(comps, links).collect()} == {r.node: r.comp for r in comps.collect()}
+
+
+def test_copies_of_a_line_count_once_among_the_lines_of_a_run():
+    rnd = random.Random(34)
+    a = prose(20, rnd)
+    rows = "\n".join([a] * 60 + [replaced(a, 2, rnd), replaced(a, 2, rnd)])
+    blobs = [b for batch in line_dedup._packed(np.zeros(1, np.uint8), None, 4, 1, [pa.RecordBatch.from_pydict({"text": [rows]})]) for b in batch.column("blob").to_pylist()]
+    met = pa.Table.from_batches(line_dedup._shared(0.8, [pa.RecordBatch.from_pydict({"part": pa.array([0] * len(blobs), pa.int32()), "blob": blobs})])).to_pandas()
+    assert met["b"].notna().all() and 1 < len(met) <= 3  # before, runs of more than 32 lines went to the comparison of large groups
+
+
+def test_words_are_told_apart_whatever_their_length_and_place():
+    rnd = random.Random(35)
+    words = sorted({"".join(rnd.choice("abé") for _ in range(n)) for n in [*range(1, 20), 31, 32, 33, 63, 64, 65, 66, 200] for _ in range(40)} | {"a\0", "a\0\0", "a" * 64, "a" * 65})
+    rows = ["\t \x0b".join(rnd.sample(words, len(words))) for _ in range(9)]  # at all places within eight bytes
+    own = line_dedup.Words(" \n\n".join(rows).encode())
+    assert own.sizes.tolist() == [len(words)] * 9 and own.lines.tolist() == [0, 2, 4, 6, 8, 10, 12, 14, 16]
+    hashes = {}
+    for word, h in zip((w for r in rows for w in r.split()), own.hashes.tolist()):
+        assert hashes.setdefault(word, h) == h
+    assert len(set(hashes.values())) == len(words)
+
+
+def test_latin_texts_are_normalised_as_all_others():
+    for c in map(chr, range(1, 0x250)):
+        assert line_dedup.normalised(f"A{c}b") == line_dedup.normalised(f"A{c}b\u2003")[:-3], c
+
+
+def test_near_copies_are_linked_without_the_edit_distance(monkeypatch):
+    rnd = random.Random(36)
+    a = [prose(40, rnd) for _ in range(50)]
+    b = [spread(x, 5) for x in a]
+    monkeypatch.setattr(line_dedup, "edit_distance", None)
+    assert all(line_dedup.similar(line_dedup.Line(x.encode()), line_dedup.Line(y.encode()), 0.8) for x, y in zip(a, b))
